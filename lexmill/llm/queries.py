@@ -15,6 +15,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_plan
+
+    return shard_plan(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -29,6 +41,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_entropy_mixing": op2_entropy_mixing,
+    "op4_shuffle_shards": op4_shuffle_shards,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
