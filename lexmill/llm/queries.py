@@ -27,6 +27,12 @@ def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op6_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_records import token_records
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_entropy_mixing": op2_entropy_mixing,
     "op4_shuffle_shards": op4_shuffle_shards,
+    "op6_audio_media": op6_audio_media,
     "op7_token_records": op7_token_records,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
