@@ -39,6 +39,12 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shuffle_shards": op4_shuffle_shards,
     "op6_audio_media": op6_audio_media,
     "op7_token_records": op7_token_records,
+    "op8_secret_owners": op8_secret_owners,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
 }
