@@ -21,12 +21,24 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_decisions
+
+    return line_decisions(table(spark, sf_dir, "documents"))
+
+
 def op4_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_plan
 
     return shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .audio import media_columns
 
@@ -60,7 +72,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_entropy_mixing": op2_entropy_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_shuffle_shards": op4_shuffle_shards,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_audio_media": op6_audio_media,
     "op7_token_records": op7_token_records,
     "op8_secret_owners": op8_secret_owners,
