@@ -16,10 +16,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, texts_of, words_of_docs
+from .common import mix, slices, text_key, texts_of, words_of_docs
 
 _U = np.uint64
 _NULL_ID = -(1 << 63)
@@ -56,7 +57,27 @@ def anchors(name: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return block, inside, at[inside]
 
 
+def _window_hashes(h: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums over the words of the windows at some starts."""
+    x, y = np.zeros(len(starts), _U), np.zeros(len(starts), _U)
+    for j in range(window):
+        word = h[starts + j]
+        x += word * _U((0x9E3779B97F4A7C15 * (2 * j + 5)) & (2**64 - 1) | 1)
+        y = y * _U(0xD6E8FEB86659FD93) + (word ^ (word >> _U(29)))
+    return mix(x), mix(y)
+
+
+def _repeated_inside(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an equal (hash, text) stands before."""
+    order = np.lexsort((x, doc))
+    again = np.zeros(len(x), dtype=bool)
+    again[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return again
+
+
 def _anchor_rows(window: int, rounds: int):
+    """(key, id, at) of every anchor; at: tie << 32 | word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -68,17 +89,14 @@ def _anchor_rows(window: int, rounds: int):
                 chosen = np.unique(chosen)
                 chosen = chosen[size[owner[chosen]] >= window]
                 rows = owner[chosen]
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[chosen].view(np.int64)), part.column("id").take(take), part.column("tie").take(take), pa.array((at[chosen] - first[rows]).astype(np.int32))],
-                    ["key", "id", "tie", "at"],
-                )
+                places = (at[chosen] - first[rows]) | (part.column("tie").to_numpy()[rows] << 32)
+                yield pa.RecordBatch.from_arrays([pa.array(block[chosen].view(np.int64)), part.column("id").take(pa.array(rows)), pa.array(places)], ["key", "id", "at"])
 
     return run
 
 
 def _window_rows(window: int, rounds: int):
-    """Windows that no unrepeated anchor rules out: (h, g, id, tie, at), h and g together 96 bits that stand for the words."""
+    """Each document's different windows that no unrepeated anchor rules out: (h, g, id, at), h and g together 96 bits for the words."""
     margin = (1 << rounds) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,55 +107,61 @@ def _window_rows(window: int, rounds: int):
                 first = np.cumsum(size) - size
                 repeated = np.zeros(len(h) + 1, dtype=bool)
                 lists = part.column("ats")
-                owners = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                owners = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 repeated[first[owners] + lists.flatten().to_numpy(zero_copy_only=False)] = True
                 name, owner, at = recompress(h, doc, rounds)
                 _, groups, chosen = anchors(name, owner)
                 stop = np.r_[at[1:], len(h)]
-                bad = ~repeated[at[chosen]]
-                a, b = at[groups[bad]] - margin, stop[groups[bad] + BLOCK + CHOICE - 2] + margin
-                f = first[owner[groups[bad]]]
-                low, high = np.maximum(b - window, f), np.minimum(a, f + size[owner[groups[bad]]] - window)
+                bad = groups[~repeated[at[chosen]]]
+                f = first[owner[bad]]
+                low = np.maximum(stop[bad + BLOCK + CHOICE - 2] + margin - window, f)
+                high = np.minimum(at[bad] - margin, f + size[owner[bad]] - window)
                 some = low <= high
-                ruled = np.zeros(len(h) + 2, dtype=np.int64)
-                np.add.at(ruled, low[some], 1)
-                np.add.at(ruled, high[some] + 1, -1)
                 n = len(h) - window + 1
                 if n <= 0:
                     continue
+                ruled = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some] + 1, minlength=n + 1)
                 found = np.flatnonzero((np.cumsum(ruled)[:n] == 0) & (doc[:n] == doc[window - 1 :]))
-                if not len(found):
-                    continue
-                x, y = np.zeros(len(found), _U), np.zeros(len(found), _U)
-                for j in range(window):
-                    word = h[found + j]
-                    x += word * _U((0x9E3779B97F4A7C15 * (2 * j + 5)) & (2**64 - 1) | 1)
-                    y = y * _U(0xD6E8FEB86659FD93) + (word ^ (word >> _U(29)))
-                take = pa.array(doc[found])
+                x, y = _window_hashes(h, found, window)
+                fresh = ~_repeated_inside(x, doc[found])
+                found, x, y = found[fresh], x[fresh], y[fresh]
+                rows = doc[found]
+                places = (found - first[rows]) | (part.column("tie").to_numpy()[rows] << 32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(x).view(np.int64)), pa.array((mix(y) >> _U(32)).astype(np.uint32).view(np.int32)), part.column("id").take(take), part.column("tie").take(take), pa.array((found - first[doc[found]]).astype(np.int32))],
-                    ["h", "g", "id", "tie", "at"],
+                    [pa.array(x.view(np.int64)), pa.array((y >> _U(32)).astype(np.uint32).view(np.int32)), part.column("id").take(pa.array(rows)), pa.array(places)],
+                    ["h", "g", "id", "at"],
                 )
 
     return run
 
 
 def _kept_rows(window: int):
+    """Takes out what windows at ``starts`` cover, and what windows cover that start earlier in the same document; all words of a copy."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for text, starts in zip(texts_of(part), part.column("starts").to_pylist()):
-                    words = text.split()
-                    n = len(words)
-                    if starts:
-                        edge = np.zeros(n + 1, dtype=np.int64)
-                        np.add.at(edge, starts, 1)
-                        np.add.at(edge, np.array(starts) + window, -1)
-                        words = list(compress(words, np.cumsum(edge[:-1]) == 0))
-                    rows.append((n, n - len(words), b" ".join(words)))
-                n, removed, kept = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                texts = texts_of(part)
+                h, doc = words_of_docs(texts)
+                size = np.bincount(doc, minlength=part.num_rows)
+                first = np.cumsum(size) - size
+                edge = np.zeros(len(h) + 1, dtype=np.int64)
+                inner = np.flatnonzero(doc[: max(0, len(h) - window + 1)] == doc[window - 1 :])
+                own = inner[_repeated_inside(_window_hashes(h, inner, window)[0], doc[inner])]
+                lists = part.column("starts")
+                owners = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                starts = np.r_[own, first[owners] + pc.list_flatten(lists).to_numpy(zero_copy_only=False)].astype(np.int64)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + window, -1)
+                copy = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False) & (size >= window)
+                gone = (np.cumsum(edge[:-1]) > 0) | copy[doc]
+                removed = np.bincount(doc[gone], minlength=part.num_rows)
+                kept = [
+                    b" ".join(compress(text.split(), ~gone[f : f + n])) if r else b" ".join(text.split()) for text, f, n, r in zip(texts, first, size, removed)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(size), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"]
+                )
 
     return run
 
@@ -157,29 +181,41 @@ def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
     return d.join(again, "id", "left").withColumn("tie", tie).drop("again")
 
 
+def copies(d: DataFrame) -> DataFrame:
+    """(id, tie) of the keyed documents whose text an earlier one has."""
+    nodes = d.where("text is not null").select("id", "tie", text_key().alias("node"))
+    place = F.struct("id", "tie")
+    heads = nodes.groupBy("node").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select("node", "head")
+    return nodes.join(heads, "node").where(place > F.col("head")).select("id", "tie", F.lit(True).alias("copy")).distinct()
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, rounds: int = 1) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_words, n_removed, kept: one row per document, repeated rows included.
 
     Removed is every word in a window of ``window`` words that also starts earlier: in a smaller doc_id (null first), or earlier in
-    the same document; of rows with one doc_id and different texts, a fixed one counts as earlier. Equal rows are one document. Windows
-    are judged on the input. kept: the other words, joined by one space. Null, empty or short texts lose nothing; an empty table gives
+    the same document. Rows with one doc_id are no earlier than each other, but for equal texts under different ids. Windows are
+    judged on the input. kept: the other words, joined by one space. Null, empty or short texts lose nothing; an empty table gives
     no rows.
 
-    Shuffled are one anchor for about six words, the windows that may repeat, and the texts once (both joins with the texts use
-    one exchange). Counts and first positions are pre-aggregated; the joins back are plain equi-joins, which adaptive execution
-    splits where one anchor or window is hot.
+    A copy of a whole text is settled by its text's key and emits nothing. Of the others, shuffled are one anchor for about
+    six words, the windows that may repeat, and the texts once (all joins with texts use one exchange). Counts and least ids are
+    pre-aggregated; the joins back are plain equi-joins, which adaptive execution splits where one anchor or window is hot.
     """
-    d = keyed(docs)
-    rows = d.select("text", "id", "tie").mapInArrow(_anchor_rows(window, rounds), "key long, id long, tie long, at int")
+    d = keyed(docs).select("text", "id", "tie")
+    copied = copies(d).hint("merge")
+    originals = d.join(copied, ["id", "tie"], "left_anti").select("text", "id", "tie")
+    rows = originals.mapInArrow(_anchor_rows(window, rounds), "key long, id long, at long")
     again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marked = rows.join(again, "key").groupBy("id", "tie").agg(F.collect_set("at").alias("ats"))
-    suspects = d.join(marked, ["id", "tie"]).select("doc_id", "text", "id", "tie", "ats")
-    windows = suspects.select("text", "id", "tie", "ats").mapInArrow(_window_rows(window, rounds), "h long, g int, id long, tie long, at int")
-    place = F.struct("id", "tie", "at")
-    firsts = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    later = windows.join(firsts.select("h", "g", "first"), ["h", "g"]).where(place > F.col("first"))
+    tie, word = F.shiftright("at", 32).alias("tie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
+    marked = rows.join(again, "key").select("id", tie, word).groupBy("id", "tie").agg(F.collect_set("at").alias("ats"))
+    suspects = originals.join(marked.hint("merge"), ["id", "tie"]).select("text", "id", "tie", "ats")
+    windows = suspects.mapInArrow(_window_rows(window, rounds), "h long, g int, id long, at long")
+    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, ["h", "g"]).where("id > first").select("id", tie, word)
     starts = later.groupBy("id", "tie").agg(F.collect_set("at").alias("starts"))
-    return d.join(starts, ["id", "tie"], "left").select("doc_id", "text", "starts").mapInArrow(_kept_rows(window), "doc_id long, n_words long, n_removed long, kept string")
+    told = d.join(starts.hint("merge"), ["id", "tie"], "left").join(copied, ["id", "tie"], "left").select("text", "id", "starts", "copy")
+    kept = told.mapInArrow(_kept_rows(window), "id long, n_words long, n_removed long, kept string")
+    return kept.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
 def dedup_digests(docs: DataFrame, **options) -> DataFrame:
