@@ -151,8 +151,7 @@ def _kept_rows(window: int):
                 lists = part.column("starts")
                 owners = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
                 starts = np.r_[own, first[owners] + pc.list_flatten(lists).to_numpy(zero_copy_only=False)].astype(np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+                edge += np.bincount(starts, minlength=len(edge)) - np.bincount(starts + window, minlength=len(edge))
                 copy = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False) & (size >= window)
                 gone = (np.cumsum(edge[:-1]) > 0) | copy[doc]
                 removed = np.bincount(doc[gone], minlength=part.num_rows)
@@ -167,7 +166,7 @@ def _kept_rows(window: int):
 
 
 def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
-    """doc_id, text, id (null as the least number) and tie: 0, or a checksum of the text where several rows share a doc_id.
+    """doc_id, text, id (null as the least number) and tie: 1 for a null doc_id, else 0; a checksum of the text where rows share a doc_id.
 
     rows: with all columns of docs as one struct ``row``.
     """
@@ -175,7 +174,7 @@ def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
     d = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("id"), *row)
     again = d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if again.isEmpty():
-        return d.withColumn("tie", F.lit(0).cast("long"))
+        return d.withColumn("tie", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long"))
     again = again.withColumn("again", F.lit(True))
     tie = F.when(F.col("again"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).cast("long")).otherwise(0)
     return d.join(again, "id", "left").withColumn("tie", tie).drop("again")
@@ -189,6 +188,11 @@ def copies(d: DataFrame) -> DataFrame:
     return nodes.join(heads, "node").where(place > F.col("head")).select("id", "tie", F.lit(True).alias("copy")).distinct()
 
 
+def by_document(places: DataFrame, name: str) -> DataFrame:
+    """(id, tie, at) -> id, tie and the list of at. Places are gathered after the shuffle: one is smaller than a list of one."""
+    return places.repartition("id", "tie").groupBy("id", "tie").agg(F.collect_list("at").alias(name))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 20, rounds: int = 1) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_words, n_removed, kept: one row per document, repeated rows included.
 
@@ -207,12 +211,12 @@ def dedup_substrings(docs: DataFrame, window: int = 20, rounds: int = 1) -> Data
     rows = originals.mapInArrow(_anchor_rows(window, rounds), "key long, id long, at long")
     again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     tie, word = F.shiftright("at", 32).alias("tie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
-    marked = rows.join(again, "key").select("id", tie, word).groupBy("id", "tie").agg(F.collect_set("at").alias("ats"))
+    marked = by_document(rows.join(again, "key").select("id", tie, word), "ats")
     suspects = originals.join(marked.hint("merge"), ["id", "tie"]).select("text", "id", "tie", "ats")
     windows = suspects.mapInArrow(_window_rows(window, rounds), "h long, g int, id long, at long")
     firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, ["h", "g"]).where("id > first").select("id", tie, word)
-    starts = later.groupBy("id", "tie").agg(F.collect_set("at").alias("starts"))
+    starts = by_document(later, "starts")
     told = d.join(starts.hint("merge"), ["id", "tie"], "left").join(copied, ["id", "tie"], "left").select("text", "id", "starts", "copy")
     kept = told.mapInArrow(_kept_rows(window), "id long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
