@@ -25,7 +25,7 @@ from .common import mix, slices, text_key, texts_of, words_of_docs
 _U = np.uint64
 _NULL_ID = -(1 << 63)
 #: Block: names in a row that make a high-level symbol. Choice: blocks in a row of which the least is an anchor.
-BLOCK, CHOICE = 4, 7
+BLOCK, CHOICE = 4, 8
 
 
 def recompress(h: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, rounds: int = 1) -> Data
     marked = by_document(rows.join(again, "key").select("id", tie, word), "ats")
     suspects = originals.join(marked.hint("merge"), ["id", "tie"]).select("text", "id", "tie", "ats")
     windows = suspects.mapInArrow(_window_rows(window, rounds), "h long, g int, id long, at long")
-    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = windows.groupBy("h", "g").agg(F.min("id").alias("first"))
     later = windows.join(firsts, ["h", "g"]).where("id > first").select("id", tie, word)
     starts = by_document(later, "starts")
     told = d.join(starts.hint("merge"), ["id", "tie"], "left").join(copied, ["id", "tie"], "left").select("text", "id", "starts", "copy")
