@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def retrieval_metrics(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -33,7 +34,7 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.round(2.0 * common / (F.size(a) + F.size(b)), 6))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(a, b):  # noqa: ANN001
     """F1 of the longest common subsequence of two token arrays; order-dependent, so outside Spark's expressions."""
     import numpy as np
