@@ -136,7 +136,7 @@ def _writer(directory: str, tokenizer: str, end_id: int):
 
 
 def write_records(docs: DataFrame, directory: str, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Writes docs(doc_id, text) as token records below ``directory`` in ascending doc_id order (null first; equal ids by text) and
+    """Writes docs(doc_id, text) as token records below ``directory`` in ascending doc_id order (null first; equal ids by the text's hash) and
     returns the manifest, itself a table in ``directory``/manifest. The range shuffle moves texts, before they are encoded.
 
     Null or empty text: only the end id. Repeated rows are records like others. An empty table: an empty manifest.
@@ -145,8 +145,8 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str | None = None,
     filesystem, base = _filesystem(directory)
     filesystem.create_dir(base, recursive=True)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # what is sampled for the ranges; texts would go to the driver
+    ranged = docs.select("doc_id", "text").repartitionByRange(n, *place).sortWithinPartitions(*place, F.col("text").asc_nulls_first())
     manifest = ranged.mapInArrow(_writer(directory, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id), MANIFEST)
     manifest.write.parquet(f"{directory}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
