@@ -22,4 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
-from lexmill.plans import evaluation_queries, record_queries, retrieval_queries, text_queries  # noqa: E402, F401
+from lexmill.plans import (  # noqa: E402
+    evaluation_queries,  # noqa: F401
+    record_queries,  # noqa: F401
+    research_queries,  # noqa: F401
+    retrieval_queries,  # noqa: F401
+    source_queries,  # noqa: F401
+    text_queries,  # noqa: F401
+)
