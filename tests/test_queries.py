@@ -41,3 +41,9 @@ def test_registry():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "r_bm25" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+def test_without_sql_has_rows(spark, name):
+    rows = catalog.QUERIES[name](spark, SF).collect()
+    assert len(rows) > 1 and len(set(map(str, rows))) > 1
