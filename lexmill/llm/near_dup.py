@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .common import materialize, mix, shingles_of_docs, slices, text_key, texts_
 from .components import connected_components
 
 _U = np.uint64
+#: A block of a bucket: so many texts or bytes of text, about. Shingles that are compared at once.
+_BLOCK_TEXTS, _BLOCK_BYTES, _WIDTH = 256, 1 << 22, 4096
 
 
 def bags(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,8 @@ def _banded(registers: int, bands: int, n: int):
                 keys = mix(keys + np.arange(bands, dtype=_U)[None, :]).view(np.int64)
                 offsets = np.r_[0, np.cumsum(np.where(has, bands, 0))].astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), arrays], ["doc_id", "node", "bands"])
+                length = pc.binary_length(part.column("text")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), length, arrays], ["doc_id", "node", "length", "bands"])
 
     return run
 
@@ -111,6 +115,90 @@ def _verified(n: int, least: float):
     return run
 
 
+def overlaps(left: list[bytes], right: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair of a left and a right text: how much their shingle multisets have in common, and the sum of their sizes."""
+    doc, element, weight = bags([*left, *right], n)
+    size = np.bincount(doc, weights=weight, minlength=len(left) + len(right))
+    # the k-th occurrence of a shingle is an element of its own, so that multisets are sets
+    doc, element = np.repeat(doc, weight), np.repeat(element, weight)
+    nth = (np.arange(len(doc)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(_U)
+    _, column = np.unique(np.where(nth > 0, mix(element + (nth << _U(44))), element), return_inverse=True)
+    on_left = doc < len(left)
+    most = column.max(initial=-1) + 1
+    shared = (np.bincount(column[on_left], minlength=most) > 0) & (np.bincount(column[~on_left], minlength=most) > 0)
+    keep = shared[column]
+    doc, column = doc[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    common = np.zeros((len(left), len(right)))
+    cuts = np.searchsorted(column, np.arange(0, shared.sum() + _WIDTH, _WIDTH))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        has = np.zeros((len(left) + len(right), min(_WIDTH, column[-1] + 1 - k * _WIDTH)), dtype=np.float32)
+        has[doc[a:b], column[a:b] - k * _WIDTH] = 1
+        common += has[: len(left)] @ has[len(left) :].T
+    return common, size[: len(left), None] + size[None, len(left) :]
+
+
+def _linked(n: int, least: float):
+    """One block of a bucket against another: (a, b), the classes of the pairs that reach the bound. A pair is compared in its first common bucket."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        is_left = rows.column("left").to_numpy()
+        left, right = rows.filter(pa.array(is_left)), rows.filter(pa.array(~is_left))
+        (ra, rb), (na, nb) = ([x.column(c).to_pylist() for x in (left, right)] for c in ("root", "node"))
+        ids = {v: k for k, v in enumerate({*ra, *rb})}
+        wanted = np.array([ids[x] for x in ra])[:, None] != np.array([ids[x] for x in rb])[None, :]
+        # two texts that are both on the left side of their bucket meet twice
+        place = {v: k for k, v in enumerate(sorted({*na, *nb}))}
+        twice = right.column("minor").to_numpy()[None, :] & (np.array([place[x] for x in na])[:, None] >= np.array([place[x] for x in nb])[None, :])
+        wanted &= ~twice
+        if wanted.any():
+            p, q = (np.array(x.column("bands").to_pylist()) for x in (left, right))
+            key, before = rows.column("key")[0].as_py(), np.zeros_like(wanted)
+            for band in range(p.shape[1]):
+                equal = p[:, band][:, None] == q[:, band][None, :]
+                wanted &= ~(before & equal & (p[:, band] == key)[:, None])
+                before |= equal
+        if not wanted.any():
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        rows_in, columns_in = wanted.any(axis=1), wanted.any(axis=0)
+        texts = [[t for t, ok in zip(texts_of(x.to_batches()[0], "text"), used) if ok] for x, used in ((left, rows_in), (right, columns_in))]
+        common, total = overlaps(*texts, n)
+        found = np.zeros_like(wanted)
+        found[np.ix_(rows_in, columns_in)] = (total > common) & (common >= least * (total - common))
+        pairs = {(ra[i], rb[j]) for i, j in zip(*np.nonzero(found & wanted))}
+        return pa.table({"a": pa.array([x[0] for x in pairs], pa.binary()), "b": pa.array([x[1] for x in pairs], pa.binary())})
+
+    return run
+
+
+def _links_between_classes(entries: DataFrame, texts: DataFrame, roots: DataFrame, text_of, n: int, least: float) -> DataFrame:
+    """(a, b): classes so far (their roots) that a pair of texts of one bucket links. Every pair of a bucket whose texts are of different classes is compared.
+
+    A bucket's largest class is not compared with itself: the texts of its other classes (left) are laid in blocks over blocks of all.
+    """
+    live = entries.where("size > 2").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    live = materialize(live.join(mixed, "key").join(texts.select("node", "length"), "node"), "live")
+    of_class = live.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / _BLOCK_TEXTS, size / _BLOCK_BYTES, F.lit(1))).cast("int")
+    buckets = of_class.groupBy("key").agg(F.max(F.struct("n", "bytes", "root")).alias("major"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    buckets = buckets.select(
+        "key", F.col("major.root").alias("major"), blocks(F.col("n"), F.col("bytes")).alias("all_blocks"),
+        blocks(F.col("n") - F.col("major.n"), F.col("bytes") - F.col("major.bytes")).alias("left_blocks"),
+    )
+    rows = live.join(buckets, "key").withColumn("minor", F.col("root") != F.col("major"))
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = rows.where("minor").select("key", own("left_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("left"), "minor", "node", "root")
+    right = rows.select("key", every("left_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("left"), "minor", "node", "root")
+    members = materialize(left.unionByName(right), "blocks")
+    source = text_of(members.select("node").distinct())
+    full = members.join(source, "node").join(texts.select("node", "bands"), "node")
+    return full.groupBy("key", "i", "j").applyInArrow(_linked(n, least), "a binary, b binary").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, similarity_at_least: float = 0.8, shingle: int = 5, registers: int = 120, bands: int = 24, chains: int = 16
 ) -> DataFrame:
@@ -121,16 +209,17 @@ def near_duplicates(
     least the bound; classes are the links' connected components.
 
     Equal texts fold into one row before any pairing. Within a band's bucket each text is paired with the bucket's most central
-    text (the one with most band neighbours in all) and with its neighbour in the order of its next band, never with all: a bucket
-    of n texts gives at most 2n pairs. Pairs are then verified on the whole texts.
+    text (the one with most band neighbours in all) and with its neighbour in the order of its next band: at most 2n pairs for a
+    bucket of n texts, verified on the whole texts. Then every pair of a bucket whose texts are still in different classes is compared,
+    block by block, so that no link inside a bucket is left out.
 
     Null and wordless texts have no row: they are nobody's copy. Ties: least doc_id, then least key. Other columns are ignored.
     """
     keyed = docs.select("doc_id", F.col("text"), text_key().alias("node"))
     signed = materialize(
-        keyed.mapInArrow(_banded(registers, bands, shingle), "doc_id long, node binary, bands array<long>").where(F.size("bands") > 0), "signed"
+        keyed.mapInArrow(_banded(registers, bands, shingle), "doc_id long, node binary, length long, bands array<long>").where(F.size("bands") > 0), "signed"
     )
-    texts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.any_value("bands").alias("bands"))
+    texts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members"), F.any_value("length").alias("length"), F.any_value("bands").alias("bands"))
     texts = materialize(texts, "texts")
 
     entries = texts.select(
@@ -148,17 +237,24 @@ def near_duplicates(
     pairs = star.unionByName(chain).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
 
+    def text_of(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.join(texts.select("node", "doc_id"), "node")
+        rows = keyed.join(wanted, (keyed.node == wanted.node) & keyed.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
+        return rows.groupBy("node").agg(F.any_value("text").alias("text"))
+
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(texts.select("node", "doc_id"), "node")
-    source = keyed.join(wanted, (keyed.node == wanted.node) & keyed.doc_id.eqNullSafe(wanted.doc_id), "left_semi")
-    source = source.groupBy("node").agg(F.any_value("text").alias("text"))
+    source = text_of(wanted)
     found = (
         pairs.join(source.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .join(source.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(_verified(shingle, similarity_at_least), "a binary, b binary")
     )
-    roots = connected_components(found)
+    roots = materialize(connected_components(found), "roots")
+    merged = connected_components(_links_between_classes(entries, texts, roots, text_of, shingle, similarity_at_least))
+    merged = merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+    everyone = texts.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = everyone.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     member = texts.select("node", "doc_id", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = member.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"), F.sum("members").alias("copies")

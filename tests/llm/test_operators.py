@@ -1,6 +1,7 @@
 """The other operators of the subpackage: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -76,6 +77,46 @@ def test_near_dup_brute_force(spark):
     assert len(set(found.values())) < len(rows)
 
 
+def family(texts, least, most, seed, words=404):
+    """Texts of one template, each with runs of words of its own: whether two of them are linked says little about a third."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(texts):
+        own = [f"t{k}" for k in range(words)]
+        changed = 0
+        while changed < rng.uniform(least, most) * words:
+            at, run = rng.randrange(words), rng.randint(4, 12)
+            own[at : at + run] = [f"d{i}w{at + k}" for k in range(len(own[at : at + run]))]
+            changed += run + 4
+        rows.append((i, " ".join(own), None, None, None))
+    return rows
+
+
+@pytest.mark.parametrize("least, most", [(0.05, 0.12), (0.02, 0.2)])
+def test_near_dup_families_that_are_not_transitive(spark, least, most):
+    rows = family(150, least, most, 3) + [(1000 + i, t.replace("t", "u"), *x) for i, t, *x in family(40, least, most, 4)]
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.document_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == brute_classes([r[:2] for r in rows])
+    assert 20 < len(set(found.values())) < len(rows) - 20
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_near_dup_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "_BLOCK_TEXTS", block)
+    rows = family(60, 0.04, 0.14, 9)
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.document_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == brute_classes([r[:2] for r in rows])
+
+
+def test_overlaps_of_blocks():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
+    common, total = near_dup.overlaps(texts[:12], texts[12:], 2)
+    for i, a in enumerate(texts[:12]):
+        want = near_dup.similarity([a] * 18, texts[12:], 2)
+        assert np.allclose(np.divide(common[i], total[i] - common[i], out=np.zeros(18), where=total[i] > common[i]), want)
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(0)
     words = [b"w%d" % k for k in range(60)]
