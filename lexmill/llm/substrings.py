@@ -214,7 +214,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, rounds: int = 1) -> Data
     originals = d.join(copied, ["id", "tie"], "left_anti").select("text", "id", "tie")
     rows = originals.mapInArrow(_anchor_rows(window, rounds), "key long, id long, at long")
     again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    tie, word = F.shiftright("at", 32).alias("tie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
+    tie, word = F.shiftrightunsigned("at", 32).alias("tie"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")
     marked = by_document(rows.join(again, "key").select("id", tie, word), "ats")
     suspects = originals.join(marked.hint("merge"), ["id", "tie"]).select("text", "id", "tie", "ats")
     windows = suspects.mapInArrow(_window_rows(window, rounds), "h long, g int, id long, at long")

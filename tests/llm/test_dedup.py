@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -79,6 +80,20 @@ def test_substrings_odd_rows(spark):
     assert substrings.dedup_digests(table(spark, [])).count() == 0
 
 
+def test_substrings_repeated_ids_with_high_checksums(spark):
+    def high(*words):
+        return next(t for t in (" ".join([*words, f"{words[0]}{k}"]) for k in range(99)) if zlib.crc32(t.encode()) >= 1 << 31)
+
+    shared = [[f"p{j}w{k}" for k in range(30)] for j in range(4)]
+    texts = [
+        (None, high("null", *shared[0])), (None, high("other", *shared[1])), (2, high("two", *shared[0])), (2, high("also", *shared[1], *shared[2])),
+        (3, high("three", *shared[2])), (4, high("four", *shared[3])), (4, high("four", *shared[3])), (5, high("five", *shared[3])), (5, high("again", *shared[2])),
+    ]
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.dedup_digests(table(spark, texts)).collect())
+    # equal rows of one id are no earlier than each other; rows of one id share no passage else
+    assert found == [(0, 32, 0), (0, 32, 0), (2, 32, 30), (2, 62, 30), (3, 32, 30), (4, 32, 0), (4, 32, 0), (5, 32, 30), (5, 32, 30)]
+
+
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:
         return 2
