@@ -7,6 +7,7 @@ positions. Training and test hashes are joined; around each hit the whole item i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,24 @@ def _overlaps(least_words: int, least_share: float):
     return run
 
 
+def _gains(same: np.ndarray, least_share: float) -> np.ndarray:
+    """Sums, before and after each word, of what agreements gain: least_share of agreements are worth exactly nothing."""
+    share = Fraction(str(least_share))
+    return np.r_[0, np.cumsum(np.where(same, share.denominator - share.numerator, -share.numerator))]
+
+
+def longest_stretch(same: np.ndarray, least_share: float) -> tuple[int, int]:
+    """Start and end of the longest stretch that starts and ends with an agreement and has least_share of them; (0, 0) if none."""
+    hits = np.flatnonzero(same)
+    if not len(hits):
+        return 0, 0
+    total = _gains(same, least_share)
+    lowest = np.minimum.accumulate(total[hits])
+    first = hits[np.searchsorted(-lowest, -total[hits + 1])]  # the earliest start whose sum is no higher than at the end
+    k = int(np.argmax(hits + 1 - first))
+    return int(first[k]), int(hits[k]) + 1
+
+
 def _compare(rows: pa.RecordBatch, least_words: int, least_share: float) -> pa.RecordBatch:
     d, doc = normalized_words(texts_of(rows))
     i, item = normalized_words(texts_of(rows, "item_text"))
@@ -124,12 +143,10 @@ def _compare(rows: pa.RecordBatch, least_words: int, least_share: float) -> pa.R
         for shift in shifts:
             low, high = max(0, -shift), min(n[r], dn[r] - shift)
             same = i[i0[r] + low : i0[r] + high] == d[d0[r] + low + shift : d0[r] + high + shift]
-            # the stretch with most agreements less a penalty that makes least_share of agreements worth nothing
-            gain = np.where(same, 1 - least_share, -least_share)
-            total = np.r_[0.0, np.cumsum(gain)]
-            drop = total - np.minimum.accumulate(total)
-            end = int(np.argmax(drop))
-            start = int(np.argmin(total[: end + 1]))
+            if n[r] < least_words:
+                start, end = (0, high - low) if high - low == n[r] and _gains(same, least_share)[-1] >= 0 else (0, 0)
+            else:
+                start, end = longest_stretch(same, least_share)
             if (end - start, shift) > best[:2] and end - start >= min(least_words, n[r]):
                 best = (end - start, shift, int(same[start:end].sum()), low + start)
         out.append(best if best[0] else None)
@@ -148,7 +165,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
     same_words, item_words.
 
     Contaminated: without gaps, a stretch of at least ``least_words`` words of an item (a shorter item whole) stands in the
-    document with at least ``least_share`` of its words the same. Words: in lower case, ASCII punctuation as white space. Items
+    document with at least ``least_share`` of its words the same. A stretch of a longer item starts and ends with equal words. Words: in lower case, ASCII punctuation as white space. Items
     without words, null and empty texts never match. Equal items are one; repeated documents each get their rows.
 
     A seed reads 6 of 10 words. Items shorter than a seed are compared by a full window of their length.

@@ -384,6 +384,29 @@ def test_decontamination_finds_every_containment(spark):
     assert want <= found and len(found) <= len(want) * 1.5
 
 
+def test_decontamination_stretches(spark):
+    words = [f"w{k}" for k in range(60)]
+    eleven, long = words[:11], words[20:50]
+    second = ["x", "y", *long[2:14], "z", "v", *long[16:20], "q", *long[21:25], "r", *long[26:30]]  # 12 the same, two others, then 14 with 12 the same
+    rows = [
+        (1, "a " + " ".join([*eleven[:-1], "other"]) + " b"), (2, "a " + " ".join(["other", *eleven[1:]]) + " b"), (3, "a " + " ".join(second) + " b"),
+        (4, "a " + " ".join(["other", "other", "other", *eleven[3:]]) + " b"), (5, " ".join(eleven[:10])), (6, " ".join([*long[:12], "end"])),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    bench = spark.createDataFrame([(1, " ".join(eleven)), (2, " ".join(long))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert found == {(1, 1), (2, 1), (3, 2)}
+
+
+def test_longest_stretch_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        same = rng.random(rng.integers(0, 30)) < 0.75
+        fit = [b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and same[b - 1] and 5 * same[a:b].sum() >= 4 * (b - a)]
+        start, end = decontaminate.longest_stretch(same, 0.8)
+        assert end - start == max(fit, default=0)
+
+
 # ---------------------------------------------------------------- 10: language ID
 
 
