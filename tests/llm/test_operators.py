@@ -1,6 +1,7 @@
 """The other operators of the subpackage: brute force, round trips, held-out accuracy, odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -407,6 +408,28 @@ def test_longest_stretch_brute_force():
         assert end - start == max(fit, default=0)
 
 
+@pytest.mark.parametrize("n", range(1, 31))
+def test_seeds_hit_every_pattern(n):
+    masks = [m for m in decontaminate._masks([n] if n < 10 else []) if len(m) <= n]
+    reads = [{at + j for j, bit in enumerate(m) if bit == "1"} for m in masks for at in range(n - len(m) + 1)]
+    for changed in itertools.combinations(range(n), n // 5) if n < 25 else ():
+        assert any(not r.intersection(changed) for r in reads), (n, changed)
+    # from 20 words on, disjoint windows of 10 leave one with at most two substitutions
+    assert n < 20 or n // 5 < 3 * (n // 10)
+
+
+def test_decontamination_short_items(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in range(4, 11)]
+    rows, want = [], set()
+    for n, item in enumerate(items):
+        for k in range(len(item)):
+            rows.append((100 * n + k, "some " + " ".join([*item[:k], "other", *item[k + 1 :]]) + " text", "en", "a", 0))
+            want |= {(100 * n + k, n)} if len(item) >= 5 else set()
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert found == want
+
+
 # ---------------------------------------------------------------- 10: language ID
 
 
