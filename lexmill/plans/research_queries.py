@@ -83,7 +83,8 @@ def e_subqueries(spark, sf_dir):
 
 @query()
 def d_topic_questions(spark, sf_dir):
-    return cases(spark).select("id", F.posexplode(R.topic_questions(F.col("text"))).alias("n", "question")).select("id", F.col("n").cast("long").alias("n"), "question")
+    q = cases(spark).unionByName(query_table(spark, sf_dir).select((1000 + F.col("query_id")).alias("id"), "text"))
+    return q.select("id", F.posexplode(R.topic_questions(F.col("text"))).alias("n", "question")).select("id", F.col("n").cast("long").alias("n"), "question")
 
 
 @query(

@@ -47,3 +47,8 @@ def test_registry():
 def test_without_sql_has_rows(spark, name):
     rows = catalog.QUERIES[name](spark, SF).collect()
     assert len(rows) > 1 and len(set(map(str, rows))) > 1
+
+
+def test_topic_questions_of_the_whole_benchmark(spark):
+    ids = {r["id"] - 1000 for r in catalog.QUERIES["d_topic_questions"](spark, SF).collect() if r["id"] >= 1000}
+    assert ids == {r["item_id"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").collect()}
