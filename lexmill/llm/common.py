@@ -2,39 +2,102 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import hashlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark setting: shuffle files go when the query that wrote them has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_kept: list[list[str]] = []
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BLOCK = 1 << 20
-_RADIX = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+_U = np.uint64
+#: Words of more bytes are hashed by BLAKE2b.
+_LONG = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (tests), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``, the folder that driver and executors share. Unset: an error, since a folder of one machine won't do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """Jobs started inside drop their shuffle files when they end; later jobs read the tables that they wrote."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor takes nothing along."""
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor takes nothing along.
+
+    Inside ``scratch`` the table goes when the block ends; ``release`` removes it sooner.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for kept in _kept:
+        kept.append(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_to)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What operators materialize inside the block is removed at its end: write or collect their results before."""
+    paths: list[str] = []
+    _kept.append(paths)
+    try:
+        yield
+    finally:
+        _kept.remove(paths)
+        for path in paths:
+            _remove(spark, path)
+
+
+def with_row(docs: DataFrame, *extra: Column) -> DataFrame:
+    """extra columns beside all columns of docs as one struct ``row``, so that no name of an operator meets a name of the table."""
+    return docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"), *extra)
+
+
+def row_columns(docs: DataFrame, **replaced: Column) -> list[Column]:
+    """docs' columns out of ``row``; replaced: other values for some of them."""
+    return [replaced[c] if c in replaced else F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_key(text: str = "text"):
@@ -76,14 +139,23 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n:
-        inverse = pow(_RADIX, -1, 1 << 64)
-        for k, r in (("p", _RADIX), ("q", inverse)):
-            steps = np.full(n, r, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers["p"][:n], _powers["q"][:n]
+def _hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: their eight-byte pieces, one after the other through the finalizer; long words by BLAKE2b."""
+    padded = np.r_[b, np.zeros(8, np.uint8)]
+    pieces = np.ndarray((len(b) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = stop - start
+    h = mix(size.astype(_U) + _U(0x9E3779B97F4A7C15))
+    live = np.arange(len(start))
+    for at in range(0, _LONG, 8):
+        if at:
+            live = live[size[live] > at]
+        if not len(live):
+            break
+        rest = np.minimum(size[live] - at, 8)
+        h[live] = mix((h[live] * _U(0xD6E8FEB86659FD93)) ^ (pieces[start[live] + at] & _FIRST[rest]))
+    for k in np.flatnonzero(size > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(b[start[k] : stop[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,11 +175,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edges = np.flatnonzero(word[1:] != word[:-1])
         start, stop = edges[0::2], edges[1::2]
         if len(start):
-            p, q = _tables(max(len(b), _BLOCK))
-            total = np.zeros(len(b) + 1, dtype=np.uint64)
-            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=total[1:])
-            h = (total[stop] - total[start]) * q[start]
-            found.append((mix(h ^ ((stop - start).astype(np.uint64) << np.uint64(48))), start + at, stop + at))
+            found.append((_hashes(b, start, stop), start + at, stop + at))
         at = end
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)

@@ -55,10 +55,10 @@ def random_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2, 3])
-def test_substrings_random(spark, rounds):
-    rows = random_rows(rounds)
-    found = substrings_of(table(spark, rows), rounds=rounds)
+@pytest.mark.parametrize("levels", [(), ((2, 2),), substrings.LEVELS, ((3, 4), (6, 3), (12, 3))])
+def test_substrings_random(spark, levels):
+    rows = random_rows(len(levels))
+    found = substrings_of(table(spark, rows), levels=levels)
     assert found == brute_substrings(rows, 20)
     assert sum(r[1] for r in found.values()) > 200
 
@@ -94,6 +94,77 @@ def test_substrings_repeated_ids_with_high_checksums(spark):
     assert found == [(0, 32, 0), (0, 32, 0), (2, 32, 30), (2, 62, 30), (3, 32, 30), (4, 32, 0), (4, 32, 0), (5, 32, 30), (5, 32, 30)]
 
 
+def test_symbols_of_a_window_stand_wherever_it_stands():
+    """The words [low, high) of a symbol alone bring it about, whatever surrounds them."""
+    rng = random.Random(11)
+    seen = 0
+    for _ in range(60):
+        core = [rng.choice("abcd" if rng.random() < 0.5 else "abcdefghijklmnop") for _ in range(30)]
+        core[10:10] = [rng.choice("ab")] * rng.randint(0, 9)
+        found = []
+        for _ in range(2):
+            before, behind = ([rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(2))
+            h, doc = substrings.words_of_docs([" ".join([*before, *core, *behind]).encode()])
+            s = substrings.Symbols(h, doc)
+            held = []
+            for least, rounds in substrings.LEVELS:
+                s.grow(least, rounds)
+                inside = (s.low >= len(before)) & (s.high <= len(before) + len(core))
+                held.append({(int(n), int(a) - len(before), int(b) - len(before)) for n, a, b in zip(s.name[inside], s.start[inside], s.end[inside])})
+            found.append(held)
+        assert found[0] == found[1]
+        seen += sum(len(x) for x in found[0])
+    assert seen > 300
+
+
+def test_symbols_rule_out_most_windows():
+    """With the naming switched off every window is left; with it only few but the repeated ones are."""
+    rng = random.Random(3)
+    passage = [f"p{rng.randrange(500)}" for _ in range(60)]
+    texts = [[f"w{rng.randrange(500)}" for _ in range(400)] for _ in range(40)]
+    for t in texts[::4]:
+        t[100:100] = passage
+    rows = [" ".join(t).encode() for t in texts]
+    off, on = substrings.Windows(rows, 20), substrings.Windows(rows, 20)
+    doc, key, a, b, _ = on.level(*substrings.LEVELS[0])
+    holders = {}
+    for d, k in zip(doc.tolist(), key.tolist()):
+        holders.setdefault(k, set()).add(d)
+    shared = [(d, k) for d, k in zip(doc.tolist(), key.tolist()) if len(holders[k]) > 1]
+    on.rule_out(doc, key, a, b, tuple(substrings.np.array(x, dtype=t) for x, t in zip(zip(*shared), (int, "u8"))))
+    windows = {}
+    for t_at, t in enumerate(texts):
+        for at in range(len(t) - 19):
+            windows.setdefault(tuple(t[at : at + 20]), set()).add(t_at)
+    repeated = sum(len(x) for x in windows.values() if len(x) > 1)
+    assert off.alive.sum() == sum(len(t) - 19 for t in texts)
+    assert repeated <= on.alive.sum() < 0.25 * off.alive.sum()
+
+
+def test_substrings_words_that_simple_hashes_confuse(spark):
+    order = [0]
+    while len(order) < 1024:
+        order += [1 - x for x in order]
+    a, b = "".join("ab"[x] for x in order), "".join("ba"[x] for x in order)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join([*words, a])), (2, " ".join([*words, b]))]
+    assert substrings_of(table(spark, rows)) == brute_substrings(rows, 20)
+    assert substrings_of(table(spark, rows))[2][:2] == (41, 40)
+
+
+def test_different_passages_of_one_name_are_an_error(spark, monkeypatch):
+    later = spark.createDataFrame([(2, 0, k, 1, 0, k) for k in range(5)], "id long, tie long, at int, fid long, ftie long, fat int")
+    texts = [(1, 0, " ".join(f"w{k}" for k in range(60))), (2, 0, " ".join(f"w{k}" for k in range(60)))]
+
+    def packed(rows):
+        return spark.createDataFrame([(i, t, substrings.zlib.compress(x.encode(), 1)) for i, t, x in rows], "id long, tie long, data binary")
+
+    substrings._verify(packed(texts), later, 20)
+    texts[1] = (2, 0, texts[1][2].replace("w10 ", "v10 "))
+    with pytest.raises(ValueError):
+        substrings._verify(packed(texts), later, 20)
+
+
 def edits(a, b):
     if abs(len(a) - len(b)) > 1:
         return 2
