@@ -47,8 +47,9 @@ def _shuffles_go(spark: SparkSession):
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, and a lost executor takes nothing along.
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Writes df as a Parquet table (with a folder for each value of some columns) in the shared folder and reads it again: lineage ends
+    there, and a lost executor takes nothing along.
 
     Inside ``scratch`` the table goes when the block ends; ``release`` removes it sooner.
     """
@@ -56,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     for kept in _kept:
         kept.append(path)
     with _shuffles_go(df.sparkSession):
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

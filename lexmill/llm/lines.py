@@ -1,21 +1,25 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is its words. Two lines are near-equal if one word inserted, deleted or replaced turns one into the other. Every line emits
-the hashes of all its variants with one word deleted, and its own; near-equal lines share one: two lines that lack the word at the
-same place are equal there (a replaced word), or one line is a variant of the other (an inserted word). Lines that share a variant are joined to
-the earliest of them, the distance is verified on the words, and the earliest line stays.
+A line is its words. Two lines are near-equal if at most ``edits`` words inserted, deleted or replaced turn one into the other. Every line
+emits the hashes of its variants with up to so many words deleted. Near-equal lines share one: what is left of both when the words that an
+edit touches are gone. A variant also says before which of its words something was deleted (its gaps). Of two lines that share a variant the
+gaps alone tell how many edits lie between them at most, and for one of the shared variants they tell exactly how many. So lines
+meet through the earliest line of each (variant, gaps); the distance is verified on the words, and the earliest line stays.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices, texts_of, words_of_docs
+from .common import materialize, mix, release, row_columns, slices, texts_of, words_of_docs
 from .substrings import keyed
 
 _U = np.uint64
@@ -34,12 +38,12 @@ class Lines:
     """The lines of several texts as word hashes, with prefix sums from which any part's hash follows."""
 
     def __init__(self, texts: list[bytes]):
-        lines = [line for text in texts for line in text.split(b"\n")]
+        self.lines = [line for text in texts for line in text.split(b"\n")]
         counts = [text.count(b"\n") + 1 for text in texts]
         self.text = np.repeat(np.arange(len(texts)), counts)
-        self.at = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts) if lines else np.empty(0, np.int64)
-        h, self.owner = words_of_docs(lines) if lines else (np.empty(0, _U), np.empty(0, np.int64))
-        self.n = np.bincount(self.owner, minlength=len(lines))
+        self.at = np.arange(len(self.lines)) - np.repeat(np.cumsum(counts) - counts, counts) if self.lines else np.empty(0, np.int64)
+        h, self.owner = words_of_docs(self.lines) if self.lines else (np.empty(0, _U), np.empty(0, np.int64))
+        self.n = np.bincount(self.owner, minlength=len(self.lines))
         self.first = np.cumsum(self.n) - self.n
         self.index = np.arange(len(h)) - self.first[self.owner]
         most = int(self.n.max()) if len(self.n) else 0
@@ -51,147 +55,242 @@ class Lines:
         f = self.first[line]
         return (self.sums[f + high] - self.sums[f + low]) * self.q[low]
 
-    def whole(self) -> np.ndarray:
-        line = np.arange(len(self.n))
-        return mix(self.part(line, np.zeros_like(self.n), self.n) * _C + self.n.astype(_U))
+    def names(self, which: np.ndarray) -> list[bytes]:
+        """128 bits that stand for the words of lines."""
+        return [hashlib.blake2b(b" ".join(self.lines[k].split()), digest_size=16).digest() for k in which.tolist()]
 
-    def halves(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key): the first and the last halves that a near-equal line must have one of, for each length that it can have."""
-        line = np.flatnonzero(self.n >= least_words)
-        n = self.n[line]
-        found = []
-        for low, high, side in ((0, n // 2, 1), (0, (n - 1) // 2, 1), (n // 2, n, 2), (n - n // 2, n, 2)):
-            found.append((line, mix(self.part(line, np.zeros_like(n) + low, np.zeros_like(n) + high) * _C + (high - low).astype(_U) * _U(4) + _U(side))))
+    def _keys(self, line: np.ndarray, parts) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key) of parts (which lines, low, high, salt) of lines, each key of a line once."""
+        found = [(line[ok], mix(self.part(line[ok], low[ok], high[ok]) * _C + salt[ok])) for ok, low, high, salt in parts]
         lines, keys = (np.concatenate(x) for x in zip(*found))
-        both = np.unique(np.rec.fromarrays([lines, keys]))
-        return both.f0, both.f1
-
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, key): each line without the word at each place; place -1: the whole line."""
-        line, i, n = self.owner, self.index, self.n[self.owner]
-        rest = self.part(line, np.zeros_like(i), i) + (self.sums[self.first[line] + n] - self.sums[self.first[line] + i + 1]) * _U(_Q)
-        key = mix(rest * _C + (n - 1).astype(_U))
-        every = np.arange(len(self.n))
-        return np.r_[every, line], np.r_[np.full(len(every), -1), i], np.r_[self.whole(), key]
+        order = np.lexsort((keys, lines))
+        lines, keys = lines[order], keys[order]
+        fresh = np.r_[True, (lines[1:] != lines[:-1]) | (keys[1:] != keys[:-1])] if len(lines) else np.empty(0, bool)
+        return lines[fresh], keys[fresh]
 
+    def pieces(self, edits: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, key): parts of which a near-equal line has one too.
 
-def _line_rows(least_words: int):
+        Of ``edits`` + 1 pieces of a line the edits leave one alone; in the other line it stands at most ``edits`` words further on or back.
+        With one edit the first half stands where it stood or the last half as far from the end.
+        """
+        line = np.flatnonzero(self.n >= least_words)
+        n, parts = self.n[line], []
+        zero, every = np.zeros_like(n), np.ones(len(n), dtype=bool)
+        if edits == 1:
+            for low, high, side in ((zero, n // 2, 1), (zero, (n - 1) // 2, 1), (n // 2, n, 2), (n - n // 2, n, 2)):
+                parts.append((every, low, high, (high - low).astype(_U) * _U(4) + _U(side)))
+            return self._keys(line, parts)
+        for own in range(-edits, edits + 1):  # words of the line that is cut, more or fewer
+            size = np.maximum(n + own, 0)
+            for k in range(edits + 1):
+                low, high = size * k // (edits + 1), size * (k + 1) // (edits + 1)
+                for shift in range(-edits, edits + 1):
+                    a, b = low + shift, high + shift
+                    ok = (size > 0) & (a >= 0) & (b <= n)
+                    parts.append((ok, np.maximum(a, 0), np.minimum(b, n), (size.astype(_U) * _U(64) + _U(k)) * _U(0xA0761D6478BD642F)))
+        return self._keys(line, parts)
+
+    def variants(self, edits: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """(line, gaps, key): each line without up to ``edits`` of its words; gaps: for each deleted word how many kept ones stand before it."""
+        every = np.arange(len(self.n))
+        zero = np.zeros_like(self.n)
+        lines, gaps = [every], [b""] * len(every)
+        keys = [mix(self.part(every, zero, self.n) * _C + self.n.astype(_U))]
+        # one deleted word, for all lines at once
+        if edits:
+            line, i, n = self.owner, self.index, self.n[self.owner]
+            rest = self.part(line, np.zeros_like(i), i) + (self.sums[self.first[line] + n] - self.sums[self.first[line] + i + 1]) * _U(_Q)
+            lines.append(line)
+            gaps += [b"%d" % k for k in i.tolist()]
+            keys.append(mix(rest * _C + (n - 1).astype(_U)))
+        for count in range(2, edits + 1):
+            for k in np.flatnonzero(self.n).tolist():
+                n = int(self.n[k])
+                picks = list(combinations(range(n), count)) if count <= n else []
+                if not picks:
+                    continue
+                gone = np.array(picks)
+                total = np.zeros(len(picks), dtype=_U)
+                edges = np.hstack([np.full((len(picks), 1), -1), gone, np.full((len(picks), 1), n)])
+                own = np.full(len(picks), k)
+                for j in range(count + 1):  # the part between two deleted words, moved up by the words deleted before
+                    low, high = edges[:, j] + 1, edges[:, j + 1]
+                    f = self.first[own]
+                    total += (self.sums[f + high] - self.sums[f + low]) * self.q[j]
+                lines.append(own)
+                gaps += [b",".join(b"%d" % (g - j) for j, g in enumerate(pick)) for pick in picks]
+                keys.append(mix(total * _C + _U(n - count)))
+        return np.concatenate(lines), gaps, np.concatenate(keys)
+
+
+def edits_between(a: bytes, b: bytes) -> int:
+    """How many edits the gaps of two lines with one variant allow for at most: in each gap, deleted words of both sides are replaced ones."""
+    x, y = (Counter(g.split(b",")) if g else Counter() for g in (a, b))
+    return sum(max(x[g], y[g]) for g in x | y)
+
+
+def within_edits(a: list[bytes], b: list[bytes], edits: int) -> bool:
+    """Whether at most ``edits`` words inserted, deleted or replaced turn a into b. Rows of the table are cut to the band that matters."""
+    if abs(len(a) - len(b)) > edits:
+        return False
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    a, b = a[low:], b[low:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    far = edits + 1
+    row = {j: j for j in range(min(len(b), edits) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - edits), min(len(b), i + edits) + 1):
+            options = [row.get(j, far) + 1, new.get(j - 1, far) + 1]
+            if j:
+                options.append(row.get(j - 1, far) + (x != b[j - 1]))
+            else:
+                options.append(i)
+            new[j] = min(options)
+        if min(new.values()) > edits:
+            return False
+        row = new
+    return row.get(len(b), far) <= edits
+
+
+def _line_rows(edits: int, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 lines = Lines(texts_of(part))
                 keep = np.flatnonzero(lines.n > 0)
-                owner, key = lines.halves(least_words)
-                halves = pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(lines.n)))].astype(np.int32), pa.array(key.view(np.int64)))
+                owner, key = lines.pieces(edits, least_words)
+                pieces = pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.bincount(owner, minlength=len(lines.n)))].astype(np.int32), pa.array(key.view(np.int64)))
                 take = pa.array(lines.text[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.whole()[keep].view(np.int64)), part.column("id").take(take), part.column("tie").take(take), pa.array(lines.at[keep].astype(np.int32)), halves.take(pa.array(keep))],
-                    ["line", "id", "tie", "at", "halves"],
+                    [
+                        pa.array(lines.names(keep), pa.binary()), part.column("id").take(take), part.column("tie").take(take),
+                        pa.array(lines.at[keep].astype(np.int32)), pieces.take(pa.array(keep)),
+                    ],
+                    ["line", "id", "tie", "at", "pieces"],
                 )
 
     return run
 
 
 def _pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of each text."""
+    """The wanted lines of each text, their words joined by one space."""
     for batch in batches:
         for part in slices(batch):
             rows = []
             for text, i, tie, wanted in zip(texts_of(part), part.column("id").to_pylist(), part.column("tie").to_pylist(), part.column("wanted").to_pylist()):
                 lines = text.split(b"\n")
-                rows += [(w["line"], i, tie, w["at"], lines[w["at"]]) for w in wanted]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
+                rows += [(w["line"], i, tie, w["at"], b" ".join(lines[w["at"]].split())) for w in wanted]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))]
             columns[-1] = columns[-1].cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, ["line", "id", "tie", "at", "text"])
 
 
-def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            owner, place, key = Lines(texts_of(part)).variants()
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(place.astype(np.int32)), *(part.column(c).take(take) for c in ("line", "id", "tie", "at"))],
-                ["key", "place", "line", "id", "tie", "at"],
-            )
+def _variant_rows(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                owner, gaps, key = Lines(texts_of(part)).variants(edits)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(gaps, pa.binary()), *(part.column(c).take(take) for c in ("line", "id", "tie", "at"))],
+                    ["key", "gaps", "line", "id", "tie", "at"],
+                )
 
+    return run
 
-def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
-    """Whether at most one word inserted, deleted or replaced turns a into b."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    n = min(len(a), len(b))
-    k = next((i for i in range(n) if a[i] != b[i]), n)
-    if len(a) == len(b):
-        return a[k + 1 :] == b[k + 1 :]
-    return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
+def _verified(edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                ok = [within_edits(a.split(), b.split(), edits) for a, b in zip(texts_of(part, "text_a"), texts_of(part, "text_b"))]
+                yield part.select(["line", "first"]).filter(pa.array(ok, pa.bool_()))
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text_a"):
-            ok = [within_one_edit(a.split(), b.split()) for a, b in zip(texts_of(part, "text_a"), texts_of(part, "text_b"))]
-            yield part.select(["line", "first"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
+def _close(edits: int):
+    @F.udf("boolean", useArrow=True)
+    def close(a: bytes, b: bytes) -> bool:
+        return edits_between(bytes(a), bytes(b)) <= edits
 
+    return close
 
-def removed_lines(d: DataFrame, least_words: int) -> DataFrame:
+
+def _met(variants: DataFrame, edits: int) -> DataFrame:
+    """(line, first): each line with the earliest lines of the (variant, gaps) that it is near, where they are earlier."""
+    place = F.struct("id", "tie", "at")
+    groups = variants.groupBy("key", "gaps").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    if edits == 1:  # near is: the same word missing at the same place, or a word missing on one side alone
+        replaced = variants.where(F.length("gaps") > 0).join(groups.where(F.col("first") != F.col("last")), ["key", "gaps"]).where(place > F.col("first")).select("line", "first")
+        whole = variants.where(F.length("gaps") == 0).select("key", F.col("line").alias("other"), place.alias("there"))
+        inserted = variants.where(F.length("gaps") > 0).join(whole, "key").select("line", "other", place.alias("here"), "there")
+        behind = F.col("here") > F.col("there")
+        inserted = inserted.select(F.when(behind, F.col("line")).otherwise(F.col("other")).alias("line"), F.when(behind, F.col("there")).otherwise(F.col("here")).alias("first"))
+        return replaced.unionByName(inserted).distinct()
+    # groups meet by variant: a variant has no more of them than ways to delete words from its line
+    other = groups.select("key", F.col("gaps").alias("other"), F.col("first").alias("there"))
+    near = groups.select("key", "gaps", "last").join(other, "key").where(F.col("there") < F.col("last")).where(_close(edits)("gaps", "other"))
+    near = near.select("key", "gaps", "there").distinct()
+    return variants.join(near, ["key", "gaps"]).where(place > F.col("there")).select("line", F.col("there").alias("first")).distinct()
+
+
+def removed_lines(d: DataFrame, edits: int, least_words: int) -> DataFrame:
     """keyed documents -> id, tie, removed (0-based line numbers, ascending), for those that lose a line."""
-    rows = d.select("text", "id", "tie").mapInArrow(_line_rows(least_words), "line long, id long, tie long, at int, halves array<long>")
+    rows = d.select("text", "id", "tie").mapInArrow(_line_rows(edits, least_words), "line binary, id long, tie long, at int, pieces array<long>")
     place = F.struct("id", "tie", "at")
-    lines = materialize(rows.groupBy("line").agg(F.min(place).alias("first"), F.any_value("halves").alias("halves")), "lines")
+    lines = materialize(rows.groupBy("line").agg(F.min(place).alias("first"), F.any_value("pieces").alias("pieces")), "lines")
 
-    halves = lines.select(F.explode("halves").alias("key"), "line")
-    crowded = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = lines.join(halves.join(crowded, "key").select("line").distinct(), "line").select("line", "first.*")
+    pieces = lines.select(F.explode("pieces").alias("key"), "line")
+    crowded = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = lines.join(pieces.join(crowded, "key").select("line").distinct(), "line").select("line", "first.*")
     wanted = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("line", "at")).alias("wanted"))
-    picked = d.join(wanted, ["id", "tie"]).select("text", "id", "tie", "wanted").mapInArrow(_pick_rows, "line long, id long, tie long, at int, text string")
+    picked = d.join(wanted, ["id", "tie"]).select("text", "id", "tie", "wanted").mapInArrow(_pick_rows, "line binary, id long, tie long, at int, text string")
     picked = materialize(picked.dropDuplicates(["line"]), "picked")
 
-    variants = picked.mapInArrow(_variant_rows, "key long, place int, line long, id long, tie long, at int")
-    missing = variants.where("place >= 0")
-    earliest = missing.groupBy("key", "place").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
-    replaced = missing.join(earliest, ["key", "place"]).where(place > F.col("first")).select("line", "first")
-    whole = variants.where("place < 0").select("key", F.col("line").alias("other"), place.alias("other_place"))
-    inserted = missing.join(whole, "key").select("line", "other", place.alias("own"), "other_place")
-    behind = F.col("own") > F.col("other_place")
-    inserted = inserted.select(
-        F.when(behind, F.col("line")).otherwise(F.col("other")).alias("line"), F.when(behind, F.col("other_place")).otherwise(F.col("own")).alias("first")
-    )
-    pairs = replaced.unionByName(inserted).distinct()
+    variants = picked.mapInArrow(_variant_rows(edits), "key long, gaps binary, line binary, id long, tie long, at int")
+    pairs = _met(variants, edits)
     text = picked.select("line", place.alias("first"), "text")
     pairs = pairs.join(text.select("line", F.col("text").alias("text_a")), "line").join(text.select("first", F.col("text").alias("text_b")), "first")
-    partner = pairs.select("line", "first", "text_a", "text_b").mapInArrow(_verified, "line long, first struct<id: long, tie: long, at: int>")
+    partner = pairs.select("line", "first", "text_a", "text_b").mapInArrow(_verified(edits), "line binary, first struct<id: long, tie: long, at: int>")
     partner = partner.groupBy("line").agg(F.min("first").alias("partner"))
 
     bounds = lines.select("line", "first").join(partner, "line", "left").select("line", F.least("first", F.coalesce("partner", "first")).alias("bound"))
     judged = rows.select("line", "id", "tie", "at").join(bounds, "line").where(place > F.col("bound"))
-    return judged.groupBy("id", "tie").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+    gone = materialize(judged.groupBy("id", "tie").agg(F.sort_array(F.collect_set("at")).alias("removed")), "removed")
+    release(lines, picked)
+    return gone
 
 
-def line_decisions(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = 1, least_words: int = 5) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_lines, n_removed, removed (0-based line numbers, ascending): one row per document.
 
     A line (between line feeds; its words) is removed if an equal or near-equal line stands earlier: in a smaller doc_id (null first),
     or higher up in the same document; of rows with one doc_id and different texts, a fixed one counts as earlier. Judged on the input, not on
-    what is left. Lines of fewer than ``least_words`` words must be equal. Lines without words stay and equal no other.
-    Equal rows are one document. Null text: one empty line.
+    what is left. Near-equal are lines at most ``edits`` words apart that both have ``least_words`` words: the similarity asked for, since in a
+    line of four words one is a quarter of it. Lines without words stay and equal no other. Equal rows are one document. Null text: one empty line.
 
-    Equal lines fold into one row first. A near-equal line shares the first or the last half, so that only lines with a half that
-    another line has emit their variants. A bucket of n lines gives n pairs, each with the bucket's earliest line: they are
-    all one word apart in the same place. So nothing is lost and no group meets in one task.
+    Equal lines (by 128 bits of their words) fold into one row first. Only lines with a piece that another line has emit their variants;
+    near-equal lines share a piece. A bucket of n lines gives n pairs for each of its gaps, each with the earliest line there: all
+    lines of one variant and one gap are as far apart. So nothing is lost and no group meets in one task.
     """
     d = keyed(docs)
     n_lines = (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).cast("long")
     slim = d.select("doc_id", "id", "tie", n_lines.alias("n_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    rows = slim.join(removed_lines(d, least_words), ["id", "tie"], "left")
+    rows = slim.join(removed_lines(d, edits, least_words), ["id", "tie"], "left")
     return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, least_words: int = 5) -> DataFrame:
     """docs with the removed lines taken out of text. Columns as they come; documents of which nothing is left stay, with empty text."""
     d = keyed(docs, rows=True)
-    d = d.join(removed_lines(d.select("doc_id", "text", "id", "tie"), least_words), ["id", "tie"], "left")
+    d = d.join(removed_lines(d.select("doc_id", "text", "id", "tie"), edits, least_words), ["id", "tie"], "left")
     left = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains(F.col("removed"), k))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return d.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return d.select(*row_columns(docs, text=text.alias("text")))

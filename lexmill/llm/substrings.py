@@ -287,21 +287,19 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["id", "tie", "block"]).filter(pa.array(wrong, pa.bool_()))
 
 
-def _repeated_inside(words: list[bytes], h: np.ndarray, inner: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows that also start earlier in the same text, compared word by word."""
-    x, y = _window_names(h, inner, window)
-    order = np.lexsort((inner, y, x))
-    same = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
-    head = order[np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0))] if len(order) else order
-    again = head != order
-    at, there = inner[order[again]], inner[head[again]]
+def _repeated_inside(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows that also start earlier in the same text, in order, and the earlier places."""
+    found = np.flatnonzero(w.alive)
+    x, y = _window_names(w.h, found, w.window)
+    doc = w.doc[found]
+    order = np.lexsort((found, y, x, doc))
+    x, y, doc = x[order], y[order], doc[order]
+    same = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (doc[1:] == doc[:-1])
+    head = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(order)), 0)) if len(order) else order
+    again = np.flatnonzero(np.r_[False, same]) if len(order) else order
+    at, there = found[order[again]], found[order[head[again]]]
     by = np.argsort(at, kind="stable")
-    at, there = at[by], there[by]
-    for k, n in zip(*stretches(at, there - at)):
-        a, b, n = int(at[k]), int(there[k]), int(n) + window - 1
-        if words[a : a + n] != words[b : b + n]:
-            raise ValueError("two different passages share a name")
-    return at
+    return at[by], there[by]
 
 
 def _kept_rows(window: int):
@@ -310,24 +308,27 @@ def _kept_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _opened(batches):
             w = Windows(texts, window)
+            own, there = _repeated_inside(w)
             rows, starts = _flat(part.column("starts"))
-            starts = starts.to_numpy(zero_copy_only=False).astype(np.int64)
-            cuts = np.searchsorted(rows, np.arange(len(texts) + 1))
-            copy = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False)
-            removed, kept = [], []
-            for k, text in enumerate(texts):
-                words, n, f = text.split(), int(w.size[k]), int(w.first[k])
-                gone = np.zeros(n, dtype=bool)
-                if n >= window and copy[k]:
-                    gone[:] = True
-                elif n >= window:
-                    own = _repeated_inside(words, w.h[f : f + n], np.arange(n - window + 1), window)
-                    every = np.r_[own, starts[cuts[k] : cuts[k + 1]]].astype(np.int64)
-                    gone = np.cumsum(np.bincount(every, minlength=n + 1) - np.bincount(every + window, minlength=n + 1))[:n] > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(compress(words, ~gone) if removed[-1] else words))
+            every = np.r_[own, w.first[rows] + starts.to_numpy(zero_copy_only=False)].astype(np.int64)
+            edge = np.bincount(every, minlength=len(w.h) + 1) - np.bincount(every + window, minlength=len(w.h) + 1)
+            copy = pc.fill_null(part.column("copy"), False).to_numpy(zero_copy_only=False) & (w.size >= window)
+            gone = (np.cumsum(edge)[: len(w.h)] > 0) | copy[w.doc]
+            removed = np.bincount(w.doc[gone], minlength=len(texts))
+            inside = dict.fromkeys(w.doc[own].tolist())
+            kept = []
+            for k, (text, f, n) in enumerate(zip(texts, w.first, w.size)):
+                words = text.split()
+                if k in inside:
+                    own_k = slice(*np.searchsorted(own, (f, f + n)))
+                    at, before = own[own_k] - f, there[own_k] - f
+                    for a, count in zip(*stretches(at, before - at)):
+                        a, b, count = int(at[a]), int(before[a]), int(count) + window - 1
+                        if words[a : a + count] != words[b : b + count]:
+                            raise ValueError("two different passages share a name")
+                kept.append(b" ".join(compress(words, ~gone[f : f + n]) if removed[k] else words))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(w.size), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"]
+                [part.column("id"), pa.array(w.size), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"]
             )
 
     return run
