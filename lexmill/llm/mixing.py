@@ -1,8 +1,9 @@
 """Mixing sources to target weights by entropy balancing.
 
 Among all document rates with the wished tokens per source and no rate above the cap, the one nearest to "every document once"
-in relative entropy is exponentially tilted: rate = min(cap, exp(lambda_source * size / mean size)). Newton steps on the convex dual
-find the lambdas. A document's rate hangs on its source and size alone, so the sums of each step run over (source, size) cells.
+in relative entropy is exponentially tilted: rate = min(cap, exp(lambda_source * size / mean size)). Newton's iteration on the convex dual
+finds the lambdas. The dual falls apart by source, and a document's rate hangs on its source and size alone: Spark counts documents
+into (source, size) cells, and the iterations of all sources run side by side in its tasks, each over its source's cells.
 """
 
 from __future__ import annotations
@@ -11,83 +12,82 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, row_columns, with_row
 
 
 def _key():
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
-def source_targets(sources: DataFrame, cap: float, cycle: tuple[int, ...]) -> DataFrame:
-    """(key, source, total) + target: weights repeat by code point of source, null last; targets share the sum of all totals by
-    weight but stop at cap times their source's total, the excess going to the others by weight until none is above.
+def running(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """df + name: the sum of a column (given by SQL) over the rows before, in some order without ties, for each name.
 
-    One row a source passes through one window partition here; documents never do.
+    Ranges are summed side by side; only their totals, one row a range, pass through one window.
     """
-    everything = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weights = F.array(*(F.lit(float(w)) for w in cycle))
-    s = sources.withColumn("weight", F.get(weights, rank % len(cycle))).withColumn("most", F.col("total") * F.lit(cap))
-    by_room = Window.orderBy(F.col("most") / F.col("weight"), "key")
-    before = F.coalesce(F.sum("most").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("weight").over(by_room.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.sum("total").over(everything) - before) / left)
-    s = s.withColumn("level", F.max(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level"))).over(everything))
-    return s.select("key", "source", "total", "docs", F.least("most", F.col("level") * F.col("weight")).alias("target"))
-
+    ranged = materialize(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("part_").agg(*(F.sum(F.expr(x)).alias(f"all_{k}") for k, x in sums.items()))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select("part_", *(F.coalesce(F.sum(f"all_{k}").over(before), F.lit(0)).alias(f"ahead_{k}") for k in sums))
+    inside = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(ahead, "part_")
+    return joined.select(*df.columns, *((F.col(f"ahead_{k}") + F.coalesce(F.sum(F.expr(x)).over(inside), F.lit(0))).alias(k) for k, x in sums.items()))
 
-def _rate(cap: float):
-    return F.least(F.lit(cap), F.exp(F.col("lam") * F.col("size") / F.col("mean")))
 
+def source_targets(sources: DataFrame, cap: float, cycle: tuple[int, ...]) -> DataFrame:
+    """(key, source, total, docs) + target: weights repeat by code point of source, null last; targets share the sum of all totals by
+    weight but stop at cap times their source's total, the excess going to the others by weight until none is above.
 
-def balance(cells: DataFrame, targets: DataFrame, cap: float, tolerance: float = 1e-7, rounds: int = 80) -> DataFrame:
-    """Newton's iteration for every source at once: (key, ..., mean, lam). A step that leaves the bracket is a bisection.
-
-    Each round is one job over the cells; only the largest relative error comes to the driver.
+    Ordered by how much a source can take for its weight, all sources up to one are full and the others share what is left.
     """
-    state = targets.withColumn("mean", F.greatest(F.col("total") / F.col("docs"), F.lit(1e-9)))
-    state = state.withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(math.log(cap)) * F.greatest(F.col("mean"), F.lit(1.0)) + 1e-9})
-    state = materialize(state, "lambdas")
-    for _ in range(rounds):
-        e = F.exp(F.col("lam") * F.col("size") / F.col("mean"))
-        mass = F.sum(F.col("n") * F.col("size") * F.least(F.lit(cap), e))
-        slope = F.sum(F.when(e < cap, F.col("n") * F.col("size") * F.col("size") / F.col("mean") * e).otherwise(0.0))
-        sums = cells.join(state, "key").groupBy("key").agg(mass.alias("mass"), slope.alias("slope"))
-        s = state.join(sums, "key")
-        low = F.col("mass") < F.col("target")
-        s = s.withColumns({"lo": F.when(low, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(low, F.col("hi")).otherwise(F.col("lam"))})
-        newton = F.col("lam") - (F.col("mass") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
-        middle = F.when(F.col("lo") < -1e5, F.col("hi") * 2 - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise(middle)
-        error = F.abs(F.col("mass") - F.col("target")) / F.greatest("target", F.lit(1e-9))
-        error = F.when(F.col("target") <= 0, 0.0).otherwise(error)
-        s = s.withColumns({"error": error, "lam": F.when(error < tolerance, F.col("lam")).otherwise(step)})
-        state = materialize(s.select(*state.columns[: state.columns.index("hi") + 1], "error"), "lambdas")
-        if (state.agg(F.max("error")).first()[0] or 0.0) < tolerance:
+    s = running(sources, [F.col("source").isNull(), F.col("source")], rank="1")
+    weights = F.array(*(F.lit(float(w)) for w in cycle))
+    s = s.withColumn("weight", F.get(weights, (F.col("rank") % len(cycle)).cast("int"))).withColumn("most", F.col("total") * F.lit(cap)).drop("rank")
+    s = running(s, [F.col("most") / F.col("weight"), F.col("key")], full="most", used="weight")
+    everything, weights = s.agg(F.sum("total"), F.sum("weight")).first()
+    s = s.withColumn("level", (F.lit(everything).cast("double") - F.col("full")) / (F.lit(weights).cast("double") - F.col("used")))
+    level = s.agg(F.max(F.when(F.col("most") / F.col("weight") >= F.col("level"), F.col("level")))).first()[0]
+    share = F.col("most") if level is None else F.least("most", F.lit(level) * F.col("weight"))
+    return s.select("key", "source", "total", "docs", share.alias("target"))
+
+
+def balance(size: np.ndarray, n: np.ndarray, target: float, cap: float, tolerance: float = 1e-9, rounds: int = 200) -> tuple[float, float]:
+    """(lambda, mean size) of one source: Newton on the dual; a step that leaves the bracket is a bisection."""
+    mean = max(float(np.sum(size * n)) / max(int(n.sum()), 1), 1e-9)
+    x = size / mean
+    low, high, lam = -1e6, math.log(cap) * max(mean, 1.0) + 1e-9, 0.0
+    for _ in range(rounds if target > 0 else 0):
+        e = np.exp(np.minimum(lam * x, 700.0))
+        mass = float(np.sum(n * size * np.minimum(cap, e)))
+        slope = float(np.sum((n * size * x * e)[e < cap]))
+        if abs(mass - target) < tolerance * target:
             break
-        state = state.drop("error")
-    return state.drop("error", "lo", "hi")
+        low, high = (lam, high) if mass < target else (low, lam)
+        step = lam - (mass - target) / slope if slope > 0 else math.nan
+        lam = step if low < step < high else (high * 2 - 1 if low < -1e5 else (low + high) / 2)
+    return lam, mean
 
 
 def _allot(cells: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies for the (size, n, rate) cells of one source. The group holds one row a distinct size, not the documents."""
+    """Rates and whole copies for the (size, n) cells of one source. The group holds one row a distinct size, not the documents."""
     c = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
-    size, n, rate = c["size"].to_numpy(np.int64), c["n"].to_numpy(np.int64), c["rate"].to_numpy()
+    size, n, cap = c["size"].to_numpy(np.int64), c["n"].to_numpy(np.int64), int(c["cap"].iloc[0])
+    lam, mean = balance(size, n, float(c["target"].iloc[0]), float(cap))
+    rate = np.minimum(float(cap), np.exp(np.minimum(lam * size / mean, 700.0)))
     base = np.floor(rate + 1e-9).astype(np.int64)
     due = np.floor(np.cumsum(n * np.clip(rate - base, 0, 1)) + 0.5).astype(np.int64)
     extra = np.clip(np.diff(np.r_[0, due]), 0, n)
     left = int(round(c["target"].iloc[0])) - int(np.sum(size * (base * n + extra)))
-    room = np.where(base >= c["cap"].to_numpy(), 0, n - extra) if left > 0 else extra
+    room = np.where(base >= cap, 0, n - extra) if left > 0 else extra
     sign = 1 if left > 0 else -1
     for k in np.flatnonzero((room > 0) & (size > 0)):  # from the largest size down: give or take what still fits
         take = min(int(room[k]), abs(left) // int(size[k]))
         extra[k] += sign * take
         left -= sign * take * int(size[k])
     for _ in range(8):  # then swap a copy of one size for a copy of another where that comes nearer
-        give, take = np.flatnonzero(extra > 0), np.flatnonzero((extra < n) & (base < c["cap"].to_numpy()) & (size > 0))
+        give, take = np.flatnonzero(extra > 0), np.flatnonzero((extra < n) & (base < cap) & (size > 0))
         if not left or not len(give) or not len(take):
             break
         up = size[take][::-1]
@@ -101,11 +101,11 @@ def _allot(cells: pd.DataFrame) -> pd.DataFrame:
         extra[i] -= 1
         extra[j] += 1
         left -= int(size[j] - size[i])
-    return pd.DataFrame({"key": c["key"], "size": size, "base": base, "extra": extra, "rate": rate})
+    return pd.DataFrame({"key": c["key"], "size": size, "base": base, "extra": extra, "rate": rate, "total": c["total"], "target": c["target"]})
 
 
 def mixed(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> docs' columns + _size, _source_size, _target, _rate, _copies: one row per document.
+    """docs(doc_id, text, source, ...) -> row (docs' columns as a struct), size, source_size, target, rate, copies: one row per document.
 
     Sizes are words. A source's copies add up to its target but for less than its smallest sizes. Which documents of equal source
     and size get one copy more is decided by a seeded hash of doc_id; reruns agree. Null text: size 0. Null source: a source
@@ -114,48 +114,38 @@ def mixed(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), see
     Hot sources and sizes: documents are counted by (source, size, salt) before anything else, and ranked within a salt only.
     """
     salts = max(16, docs.count() // 2_000_000)
-    sized = docs.withColumns(
-        {
-            "_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
-            "_key": _key(),
-            "_salt": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(salts)),
-        }
+    sized = with_row(
+        docs,
+        F.col("doc_id"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _key().alias("key"),
+        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(salts)).alias("salt"),
     )
-    counts = sized.groupBy("_key", F.col("_size").alias("size"), "_salt").agg(F.count("*").alias("n"))
-    counts = materialize(counts.withColumnRenamed("_key", "key").withColumnRenamed("_salt", "salt"), "counts")
-    cells = materialize(counts.groupBy("key", "size").agg(F.sum("n").alias("n")), "cells")
+    counts = materialize(sized.groupBy("key", "size", "salt").agg(F.count("*").alias("n")), "counts")
+    cells = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs"))
     sources = sources.withColumn("source", F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30)))
-    state = balance(cells, source_targets(sources, float(cap), cycle), float(cap))
-    rated = cells.join(state, "key").select("key", "size", "n", "target", _rate(float(cap)).alias("rate"), F.lit(cap).alias("cap"))
-    allotted = rated.groupBy("key").applyInPandas(_allot, "key string, size long, base long, extra long, rate double")
+    targets = materialize(source_targets(sources, float(cap), cycle), "targets")
+    aimed = cells.join(targets, "key").select("key", "size", "n", "total", "target", F.lit(cap).alias("cap"))
+    allotted = aimed.groupBy("key").applyInPandas(_allot, "key string, size long, base long, extra long, rate double, total long, target double")
     allotted = materialize(allotted, "allotted")
     run = Window.partitionBy("key", "size").orderBy("salt")
     whole = Window.partitionBy("key", "size")
     shares = counts.join(allotted, ["key", "size"]).withColumns({"sum": F.sum("n").over(run), "all": F.sum("n").over(whole)})
     shares = shares.withColumn("extra", F.expr("extra * sum div all - extra * (sum - n) div all"))
-    shares = shares.join(state.select("key", "total", "target"), "key")
-    shares = shares.select(
-        F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("salt").alias("_salt"), "base", "extra",
-        F.col("total").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"),
-    )
-    rank = F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    named = {c: f"`{c}`" for c in docs.columns}
-    dealt = sized.join(shares.withColumnsRenamed({"base": "_base", "extra": "_extra"}), ["_key", "_size", "_salt"])
-    dealt = dealt.withColumn("_copies", F.col("_base") + (rank <= F.col("_extra")).cast("long"))
-    return dealt.select(*(F.col(q) for q in named.values()), "_size", "_source_size", "_target", "_rate", "_copies")
+    shares = shares.select("key", "size", "salt", "base", "extra", F.col("total").alias("source_size"), "target", "rate")
+    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
+    dealt = sized.join(shares, ["key", "size", "salt"])
+    return dealt.select("row", "doc_id", "size", "source_size", "target", "rate", (F.col("base") + (rank <= F.col("extra")).cast("long")).alias("copies"))
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken (words taken, repeats counted), copies, rate: one row per document."""
     m = mixed(docs.select("doc_id", "text", "source"), **options)
-    return m.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"), F.col("_rate").alias("rate"),
-    )
+    return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as it has copies. Columns as they come."""
-    m = mixed(docs, **options).where("_copies > 0")
-    return m.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The mix itself: every document as often as it has copies. Columns as they come, whatever their names."""
+    m = mixed(docs, **options).where("copies > 0")
+    return m.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*row_columns(docs))
