@@ -8,6 +8,7 @@ behind is never read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -15,13 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import shared_dir, slices, texts_of
 
@@ -60,19 +59,36 @@ class Remembered(dict):
 class Encoder:
     """text -> ids as little-endian bytes, by the tokenizers library.
 
-    The tokenizer drops white space and no rule of it reaches across it, so a text's ids are those of its words, in order. Words and
-    the library's own pre-tokens are remembered, up to ``most`` of each.
+    Where the tokenizer's file says that white space ends every token (the settings below), a text's ids are those of its words, in
+    order; words and the library's own pre-tokens are remembered, up to ``most`` of each. Any other tokenizer encodes whole texts.
     """
 
-    #: The tokenizer's split pattern, for ASCII words in lower case.
+    #: The normalizers and the split pattern under which words can be encoded one by one, and the pattern for ASCII words in lower case.
+    _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, path: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.by_word = self._by_word(json.loads(self.tokenizer.to_str()))
         self.words, self.pieces = Remembered(self._word, most), Remembered(self._piece, most)
 
+    @classmethod
+    def _by_word(cls, settings: dict) -> bool:
+        normalizers = (settings.get("normalizer") or {}).get("normalizers")
+        splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = {"type": "Split", "pattern": {"Regex": cls._PATTERN}, "behavior": "Removed", "invert": True}
+        plain = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) and " " not in t["content"] for t in settings["added_tokens"])
+        level = [{k: x.get(k) for k in ("type", "add_prefix_space", "use_regex")} for x in splits[1:]]
+        return (
+            normalizers == cls._NORMALIZERS and splits[0] == split and level == [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+            and plain and settings.get("post_processor") is None and settings.get("truncation") is None
+        )
+
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
@@ -82,14 +98,19 @@ class Encoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if "<|" in text or not text.isprintable():  # a special token's text, or odd characters: the library's whole path
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self._whole(text)
         if text.isascii():
             found = self._SPLIT.findall(text.lower())
         else:
             found = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
         return b"".join(map(self.pieces.__getitem__, found))
 
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return self._whole(text.decode("utf-8", "replace"))
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -141,13 +162,17 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str | None = None,
 
     Null or empty text: only the end id. Repeated rows are records like others. An empty table: an empty manifest.
     """
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
     filesystem, base = _filesystem(directory)
     filesystem.create_dir(base, recursive=True)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # what is sampled for the ranges; texts would go to the driver
     ranged = docs.select("doc_id", "text").repartitionByRange(n, *place).sortWithinPartitions(*place, F.col("text").asc_nulls_first())
-    manifest = ranged.mapInArrow(_writer(directory, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id), MANIFEST)
+    manifest = ranged.mapInArrow(_writer(directory, tokenizer, end_id), MANIFEST)
     manifest.write.parquet(f"{directory}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
 
