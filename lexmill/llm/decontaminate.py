@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, slices, text_key, texts_of, word_hashes
+from .common import materialize, mix, row_columns, slices, text_key, texts_of, with_row, word_hashes
 
 #: Which words of a window a seed reads (1) and ignores (0). The nine of 10 words let any two substitutions through, each pair by one of
 #: them at least. Whatever has at most 20 % substituted has such a window, but for 15 to 17 words with three in the middle: the last mask.
@@ -52,6 +52,13 @@ def seeds(h: np.ndarray, doc: np.ndarray, mask: str, salt: int) -> tuple[np.ndar
     return mix(out[inside]), inside
 
 
+def seed_runs(x: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of one seed at places in a row in one text: a word repeated a thousand times is one row."""
+    new = np.r_[True, (x[1:] != x[:-1]) | (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])] if len(x) else np.empty(0, bool)
+    head = np.flatnonzero(new)
+    return head, np.diff(np.r_[head, len(x)])
+
+
 def _masks(short: list[int]) -> list[str]:
     """The spaced seeds, and masks for each length of items that are shorter than a seed: a full window for lengths under 5, else three
     that ignore a third each, so that one substitution anywhere passes one of them."""
@@ -73,8 +80,10 @@ def _item_seeds(masks: list[str], lengths: bool):
                 if k >= len(MASKS):  # a short item is one window, by its own masks; longer items have spaced seeds
                     own = size[item[at]] == len(mask)
                     x, at = x[own], at[own]
-                node = batch.column("item").take(pa.array(item[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), node, pa.array((at - first[item[at]]).astype(np.int64))], ["h", "item", "item_at"])
+                head, count = seed_runs(x, at, item[at])
+                x, at = x[head], at[head]
+                node, place = batch.column("item").take(pa.array(item[at])), (at - first[item[at]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), node, pa.array(place), pa.array(place + count - 1)], ["h", "item", "item_at", "item_last"])
 
     return run
 
@@ -92,10 +101,12 @@ def _doc_hits(masks: list[str], bits):
                     found = np.flatnonzero((filled[(low >> _U(3)).astype(np.int64)] >> (low & _U(7)).astype(np.uint8)) & 1)
                     x, at = x[found], at[found]
                     if len(x):
-                        rows = doc[at]
+                        head, count = seed_runs(x, at, doc[at])
+                        x, rows = x[head], doc[at[head]]
+                        place = (at[head] - first[rows]).astype(np.int64)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(x.view(np.int64)), part.column("doc_id").take(pa.array(rows)), part.column("node").take(pa.array(rows)), pa.array((at - first[rows]).astype(np.int64))],
-                            ["h", "doc_id", "node", "at"],
+                            [pa.array(x.view(np.int64)), part.column("doc_id").take(pa.array(rows)), part.column("node").take(pa.array(rows)), pa.array(place), pa.array(place + count - 1)],
+                            ["h", "doc_id", "node", "at", "last"],
                         )
 
     return run
@@ -146,7 +157,7 @@ def _compare(rows: pa.RecordBatch, least_words: int, least_share: float) -> pa.R
     out = []
     for r, shifts in enumerate(rows.column("shifts").to_pylist()):
         best = (0, 0, 0)
-        for shift in shifts:
+        for shift in sorted({k for s in shifts for k in range(s["low"], s["high"] + 1)}):
             low, high = max(0, -shift), min(n[r], dn[r] - shift)
             same = i[i0[r] + low : i0[r] + high] == d[d0[r] + low + shift : d0[r] + high + shift]
             if n[r] < least_words:
@@ -172,7 +183,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
 
     Contaminated: without gaps, a stretch of at least ``least_words`` words of an item (a shorter item whole) stands in the
     document with at least ``least_share`` of its words the same. A stretch of a longer item starts and ends with equal words. Words: in lower case, ASCII punctuation as white space. Items
-    without words, null and empty texts never match. Equal items are one; repeated documents each get their rows.
+    without words, null and empty texts never match. Equal items are one, and so are rows of one doc_id and text.
 
     Seeds read 6 of 10 words or 10 of 15; items under 10 words have masks of their own length. For a least_share of 0.8 or more
     they miss nothing that the rule above names.
@@ -181,12 +192,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least
     items = materialize(benchmark.where("text is not null").groupBy(text_key().alias("item")).agg(F.any_value("text").alias("text")), "items")
     lengths = items.mapInArrow(_item_seeds([], True), "n long").where(F.col("n") < len(MASKS[0])).distinct()
     masks = _masks(sorted(r["n"] for r in lengths.collect()))
-    tests = materialize(items.mapInArrow(_item_seeds(masks, False), "h long, item binary, item_at long"), "seeds")
+    tests = materialize(items.mapInArrow(_item_seeds(masks, False), "h long, item binary, item_at long, item_last long"), "seeds")
     bits = spark.sparkContext.broadcast(_bitmap(tests))
     keyed = docs.select("doc_id", "text", text_key().alias("node"))
-    hits = keyed.where("text is not null").mapInArrow(_doc_hits(masks, bits), "h long, doc_id long, node binary, at long")
-    met = hits.join(tests, "h").select("doc_id", "node", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-    met = materialize(met.groupBy("doc_id", "node", "item").agg(F.collect_set("shift").alias("shifts")), "hits")
+    hits = keyed.where("text is not null").mapInArrow(_doc_hits(masks, bits), "h long, doc_id long, node binary, at long, last long")
+    shifts = F.struct((F.col("at") - F.col("item_last")).alias("low"), (F.col("last") - F.col("item_at")).alias("high"))
+    met = hits.join(tests, "h").select("doc_id", "node", "item", shifts.alias("shifts"))
+    met = materialize(met.groupBy("doc_id", "node", "item").agg(F.collect_set("shifts").alias("shifts")), "hits")
     # texts of documents that were hit, each text once
     first = met.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
     source = keyed.join(first, (keyed.node == first.node) & keyed.doc_id.eqNullSafe(first.doc_id), "left_semi")
@@ -208,7 +220,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated ones. Columns as they come."""
-    nodes = overlaps(docs, benchmark, **options).select(F.col("node").alias("_node")).distinct()
-    name = "_node" if "_node" not in docs.columns else "_node_key"
-    return docs.withColumn(name, text_key()).join(nodes.withColumnRenamed("_node", name), name, "left_anti").select(*docs.columns)
+    """docs without the contaminated ones. Columns as they come, whatever their names."""
+    nodes = overlaps(docs, benchmark, **options).select("node").distinct()
+    return with_row(docs, text_key().alias("node")).join(nodes, "node", "left_anti").select(*row_columns(docs))
