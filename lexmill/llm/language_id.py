@@ -5,14 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_columns, with_row
 
 #: Families of languages that are easily confused. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -84,10 +83,12 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, rows: int, languages: int) -> tuple[DataFrame, list[str]]:
+def _sample(docs: DataFrame, rows: int, most_languages: int) -> tuple[DataFrame, list[str]]:
     """At most ``rows`` labelled rows, the same number of each language, by the hash of doc_id; and the languages in order."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = known.groupBy("lang").count().limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages among the labels")
     if not counts:
         return known.limit(0).select("lang", "text"), []
     per = max(1, rows // len(counts))
@@ -99,37 +100,65 @@ def _sample(docs: DataFrame, rows: int, languages: int) -> tuple[DataFrame, list
     return pick, sorted(r["lang"] for r in counts)
 
 
-def _pairs(train: DataFrame, column: str, values: list[str], iterations: int) -> list[tuple[str, str, np.ndarray, float]]:
-    """One linear SVM for every two values."""
-    found = []
-    for a, b in combinations(values, 2):
-        rows = train.where(F.col(column).isin(a, b)).select("features", (F.col(column) == a).cast("double").alias("label"))
-        svm = LinearSVC(maxIter=iterations, regParam=0.01, aggregationDepth=2).fit(rows)
-        found.append((a, b, svm.coefficients.toArray().astype(np.float32) * _SCALE, float(svm.intercept)))
-    return found
-
-
-def fit(
-    docs: DataFrame, families: dict[str, str] | None = None, sample_rows: int = 3000, max_languages: int = 256, buckets: int = 2048, iterations: int = 30
-) -> dict:
+def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a linear SVM (squared hinge loss) for signs y, by dual coordinate descent."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    scale = np.linalg.norm(x[:, :-1], axis=1).mean() or 1.0
+    x[:, :-1] /= scale
+    w, alpha, diagonal = np.zeros(x.shape[1]), np.zeros(len(x)), 0.5 / cost
+    norms, rng = np.einsum("ij,ij->i", x, x) + diagonal, np.random.default_rng(7)
+    for _ in range(rounds):
+        moved = 0.0
+        for i in rng.permutation(len(x)):
+            gradient = y[i] * (x[i] @ w) - 1 + diagonal * alpha[i]
+            new = max(alpha[i] - gradient / norms[i], 0.0)
+            if new != alpha[i]:
+                w += (new - alpha[i]) * y[i] * x[i]
+                moved = max(moved, abs(new - alpha[i]))
+                alpha[i] = new
+        if moved < 1e-3 * cost:
+            break
+    return w[:-1] / scale, float(w[-1])
+
+
+def _trained(rows: pd.DataFrame) -> pd.DataFrame:
+    """One machine from the rows of two values."""
+    rows = rows.sort_values(["lang", "text_hash"], kind="stable")  # the same machine whatever order the rows come in
+    weights, intercept = train_machine(np.stack(rows["features"].to_numpy()), np.where(rows["first"], 1.0, -1.0))
+    return pd.DataFrame({"place": rows["place"].iloc[:1], "a": rows["a"].iloc[:1], "b": rows["b"].iloc[:1], "weights": [weights], "intercept": [intercept]})
+
+
+def fit(docs: DataFrame, families: dict[str, str] | None = None, sample_rows: int = 3000, most_languages: int = 1024, buckets: int = 2048) -> dict:
     """A model from documents(doc_id, text, lang) that are not held out.
 
-    It learns from a bounded sample: at most ``sample_rows`` rows in all, shared evenly by the (at most ``max_languages``, most
-    frequent first) languages. No labelled row: a model without languages, which calls everything ``und``.
+    It learns from a bounded sample: at most ``sample_rows`` rows in all, shared evenly by the languages (one at least of each). More
+    than ``most_languages`` of them are an error: such labels are no languages. No labelled row: a model without languages, which calls everything ``und``.
+
+    Every machine is trained in a task of its own, from the sampled rows of its two values.
     """
     families = FAMILIES if families is None else families
-    sample, languages = _sample(docs, sample_rows, max_languages)
+    spark = docs.sparkSession
+    sample, languages = _sample(docs, sample_rows, most_languages)
     model = {"buckets": buckets, "families": {}, "between": [], "within": {}}
     for lang in languages:
         model["families"].setdefault(families.get(lang, lang), []).append(lang)
     if len(languages) < 2:
         return model
-    family = F.create_map(*(F.lit(x) for lang in languages for x in (lang, families.get(lang, lang))))[F.col("lang")]
-    train = sample.select("lang", family.alias("family"), array_to_vector(_features(buckets)("text")).alias("features"))
-    train = materialize(train, "language-sample")
-    model["between"] = _pairs(train, "family", sorted(model["families"]), iterations)
-    for name, members in model["families"].items():
-        model["within"][name] = _pairs(train, "lang", members, iterations)
+    # place: "" between families, else the family
+    machines = [("", a, b) for a, b in combinations(sorted(model["families"]), 2)]
+    machines += [(f"f{name}", a, b) for name, members in model["families"].items() for a, b in combinations(members, 2)]
+    roles = []
+    for place, a, b in machines:
+        for value, first in ((a, True), (b, False)):
+            roles += [(lang, place, a, b, first) for lang in ([value] if place else model["families"][value])]
+    roles = spark.createDataFrame(roles, "lang string, place string, a string, b string, first boolean")
+    train = sample.select("lang", F.xxhash64("text").alias("text_hash"), _features(buckets)("text").alias("features"))
+    rows = materialize(train, "language-sample").join(F.broadcast(roles), "lang")
+    found = rows.groupBy("place", "a", "b").applyInPandas(_trained, "place string, a string, b string, weights array<double>, intercept double").collect()
+    of = {(r["place"], r["a"], r["b"]): (r["a"], r["b"], np.array(r["weights"], dtype=np.float32) * _SCALE, r["intercept"]) for r in found}
+    model["between"] = [of[m] for m in machines if not m[0] and m in of]
+    for name in model["families"]:
+        model["within"][name] = [of[m] for m in machines if m[0] == f"f{name}" and m in of]
     return model
 
 
@@ -189,9 +218,5 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.0, **options) -> DataFrame:
     """docs without those that the model rejects: ``und``, or a score below ``least_score``. Columns as they come."""
     predict = predictor(fit(docs.select("doc_id", "text", "lang"), **options))
-    name = "_judged"
-    while name in docs.columns:
-        name += "_"
-    judged = docs.withColumn(name, predict("text"))
-    ok = (F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= least_score)
-    return judged.where(ok).select(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = with_row(docs, predict("text").alias("p"))
+    return judged.where((F.col("p.lang_pred") != UNDETERMINED) & (F.col("p.score") >= least_score)).select(*row_columns(docs))
