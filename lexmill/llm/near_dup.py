@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingles_of_docs, slices, text_key, texts_of
+from .common import materialize, mix, release, row_columns, shingles_of_docs, slices, text_key, texts_of, with_row
 from .components import connected_components
 
 _U = np.uint64
@@ -200,7 +200,7 @@ def _links_between_classes(entries: DataFrame, texts: DataFrame, roots: DataFram
 
 
 def near_duplicates(
-    docs: DataFrame, similarity_at_least: float = 0.8, shingle: int = 5, registers: int = 120, bands: int = 24, chains: int = 16
+    docs: DataFrame, similarity_at_least: float = 0.8, shingle: int = 5, registers: int = 120, bands: int = 24, chain: int = 256
 ) -> DataFrame:
     """docs(doc_id, text, ...) -> (node, members, class_id, class_node, copies): one row per distinct text that has words.
 
@@ -209,8 +209,8 @@ def near_duplicates(
     least the bound; classes are the links' connected components.
 
     Equal texts fold into one row before any pairing. Within a band's bucket each text is paired with the bucket's most central
-    text (the one with most band neighbours in all) and with its neighbour in the order of its next band: at most 2n pairs for a
-    bucket of n texts, verified on the whole texts. Then every pair of a bucket whose texts are still in different classes is compared,
+    text (the one with most band neighbours in all) and with its neighbour in the order of its next band, in chains of about ``chain``
+    texts: at most 2n pairs for a bucket of n texts, verified on the whole texts. Then every pair of a bucket whose texts are still in different classes is compared,
     block by block, so that no link inside a bucket is left out.
 
     Null and wordless texts have no row: they are nobody's copy. Ties: least doc_id, then least key. Other columns are ignored.
@@ -232,7 +232,7 @@ def near_duplicates(
     ranked = entries.join(central, "node")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
     star = entries.join(hubs, "key").where(F.col("node") != F.col("hub")).select("node", F.col("hub").alias("other"))
-    line = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(chains))).orderBy("next", "node")
+    line = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / chain))).orderBy("next", "node")
     chain = entries.select("node", F.lag("node").over(line).alias("other")).where("other is not null")
     pairs = star.unionByName(chain).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
@@ -285,7 +285,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Documents without words are nobody's copy and stay.
     """
     classes = near_duplicates(docs.select("doc_id", "text"), **options)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), text_key().alias("node"))
+    rows = with_row(docs, F.col("doc_id").alias("id"), text_key().alias("node"))
     repeated = rows.groupBy("node", "id").agg(F.count("*").alias("n")).where("n > 1 and node is not null").select(F.col("node").alias("again"), F.col("id").alias("again_id"))
     wordless = rows.join(classes.select("node"), "node", "left_anti").select("row")
     heads = classes.where(F.col("node") == F.col("class_node")).select(F.col("node").alias("head"), F.col("class_id").alias("head_id"))
@@ -293,4 +293,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     kept = rows.join(heads, (F.col("node") == F.col("head")) & F.col("id").eqNullSafe(F.col("head_id")))
     once = kept.where("again is null").select("row")
     again = kept.where("again is not null").select("row", "node").dropDuplicates(["node"]).select("row")
-    return once.unionByName(again).unionByName(wordless).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return once.unionByName(again).unionByName(wordless).select(*row_columns(docs))
