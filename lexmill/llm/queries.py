@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 
 
@@ -82,4 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others: their results hang on a generator (4), an iteration (2), a trained model (10), a tokenizer (7) or spectra (6).
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_DEDUP,
+    "op3_line_dedup": oracles.LINE_DEDUP,
+    "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_secret_owners": oracles.SECRET_OWNERS,
+    "op9_decontamination": oracles.DECONTAMINATION,
+}

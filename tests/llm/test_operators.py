@@ -30,12 +30,27 @@ def odd(spark):
     return spark.createDataFrame(ODD, SCHEMA)
 
 
+#: Names that operators may use inside, and names that need quoting.
+CLASHES = [
+    "node", "id", "tie", "size", "_size", "key", "_key", "_salt", "_copies", "_copy", "_base", "_bucket", "_order", "_shard", "_place", "bucket", "place", "shard", "slot", "row", "rows",
+    "rank", "h", "hub", "_node", "_node_key", "_judged", "kind", "at", "p", "col", "a.b", "c`d", "removed", "copies", "target", "rate", "e f",
+]
+
+
 def clashing(df):
-    """The same rows with further columns whose names operators may use inside."""
-    names = ["node", "id", "tie", "size", "key", "_size", "rank", "h", "hub", "_node", "_judged", "kind", "at"]
+    """The same rows with further columns of clashing names; their values tell the column and the row."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({n: F.lit(n) for n in names})
+    return df.select("*", *(F.concat(F.lit(n + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in CLASHES))
+
+
+def unharmed(df):
+    """Every row still has its own values in all clashing columns."""
+    rows = df.collect()
+    for r in rows:
+        own = "none" if r["doc_id"] is None else str(r["doc_id"])
+        assert [r[n] for n in CLASHES] == [f"{n}:{own}" for n in CLASHES]
+    return rows
 
 
 # ---------------------------------------------------------------- 1: near duplicates
@@ -134,7 +149,7 @@ def test_near_dup_odd_rows(spark, odd):
     found = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["copies"], r["kept"]) for r in near_dup.document_classes(clashing(odd)).collect())
     assert found == [(0, 4, 3, False), (1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 3, True), (4, 4, 3, True), (5, 5, 1, True)]
     kept = near_dup.keep_one(clashing(odd))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["doc_id"] for r in unharmed(kept)) == [1, 2, 3, 4, 5]
     assert kept.columns == clashing(odd).columns
     assert near_dup.document_classes(odd.limit(0)).count() == 0
 
@@ -190,7 +205,31 @@ def test_mixing(spark):
         if r["size"] and r["rate"] < 3:
             lines[source[r["doc_id"]]].add(round(float(np.log(r["rate"])) / r["size"], 7))
     assert all(max(x) - min(x) < 1e-5 for x in lines.values())
-    assert mixing.mix(docs).count() == sum(r["copies"] for r in rows)
+    mix = mixing.mix(clashing(docs))
+    assert mix.columns == clashing(docs).columns
+    copies = Counter((r["doc_id"], r["text"], r["source"]) for r in unharmed(mix))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert copies == Counter({(r["doc_id"], text[r["doc_id"]], source[r["doc_id"]]): r["copies"] for r in rows if r["copies"]})
+
+
+@pytest.mark.parametrize("count", [1, 2, 7, 40])
+def test_source_targets(spark, count):
+    rng = random.Random(count)
+    sizes = {(f"s{k}" if k else None): rng.choice([0, 1, 10, 1000, 10**6]) for k in range(count)}
+    rows = [("n" if s is None else "s" + s, s, n, 1) for s, n in sizes.items()]
+    found = mixing.source_targets(spark.createDataFrame(rows, "key string, source string, total long, docs long"), 3.0, (1, 2, 3)).collect()
+    want = brute_targets(sizes)
+    assert {r["source"]: r["target"] for r in found} == pytest.approx(want)
+
+
+def test_newton_balances_any_cells():
+    rng = np.random.default_rng(1)
+    for share in (0.01, 0.3, 0.999, 1.0, 1.7, 2.99, 3.0):
+        size, n = np.unique(rng.integers(0, 5000, 300)), None
+        n = rng.integers(1, 50, len(size))
+        target = share * float(np.sum(size * n))
+        lam, mean = mixing.balance(size, n, target, 3.0)
+        assert float(np.sum(size * n * np.minimum(3.0, np.exp(np.minimum(lam * size / mean, 700))))) == pytest.approx(target, rel=1e-5)
 
 
 def test_mixing_odd_rows(odd):
@@ -225,10 +264,48 @@ def test_sharding(docs, odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_placement_whatever_follows_and_however_the_input_lies(spark, docs):
+    from pyspark.sql import functions as F
+
+    want = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_plan(docs, bucket_bytes=30_000).collect()}
+    sums = set()
+    for k, df in enumerate((docs, docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(2))):
+        plan = sharding.shard_plan(df, bucket_bytes=30_000, most_tasks=(20_000, 3, 7)[k])  # at most_tasks 3 and 7 in several chunks
+        joined = docs.select("doc_id", "lang").join(plan, "doc_id").groupBy("doc_id").agg(F.max("shard").alias("shard"), F.max("slot").alias("slot"))
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in joined.collect()} == want
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in plan.repartition(9).collect()} == want
+        sums.add(plan.agg(F.sum(F.xxhash64("doc_id", "shard", "slot").cast("decimal(38,0)"))).first()[0])
+    assert len(sums) == 1
+
+
+def test_rows_that_equal_each_other_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, "same text", "en", "a", 1)] * 900 + [(None, None, None, None, None)] * 500 + [(k, f"t {k}", "en", "a", 1) for k in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = sharding.shard_plan(df, bucket_bytes=2_000, hot_rows=50).collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(r[0] for r in rows)
+    assert sorted(r["shard"] + 40 * r["slot"] for r in out) == list(range(2000))
+    again = sharding.shard_plan(df.repartition(3), bucket_bytes=2_000, hot_rows=50).collect()
+    place = lambda rs: sorted((r["doc_id"] or 0, r["shard"], r["slot"]) for r in rs)
+    assert place(out) == place(again)
+    buckets = sharding._scattered(df, F.struct("doc_id"), 20, 1, 50).groupBy("bucket").count().collect()
+    assert len(buckets) == 20 and max(r["count"] for r in buckets) < 300
+
+
 def test_written_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs, f"file://{tmp_path}/out", 4)
+    from pyspark.sql import functions as F
+
+    wide = clashing(docs).withColumn("m", F.create_map(F.lit("x"), F.col("doc_id")))
+    sharding.write_shards(wide, f"file://{tmp_path}/out", 4, bucket_bytes=50_000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
-    assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
+    assert sorted(back.columns) == sorted([*wide.columns, "shard_"])
+    assert Counter((r["doc_id"], r["text"], r["m"]["x"]) for r in unharmed(back)) == Counter((r["doc_id"], r["text"], r["doc_id"]) for r in docs.collect())
+    plan = {r["doc_id"]: r for r in sharding.shard_plan(docs, 4).collect()}
+    sharding.write_shards(docs.select("doc_id", "text"), f"file://{tmp_path}/slim", 4)
+    for k in range(4):
+        order = [r["doc_id"] for r in spark.read.parquet(f"file://{tmp_path}/slim/shard={k}").collect()]
+        assert order == sorted((i for i, r in plan.items() if r["shard"] == k), key=lambda i: plan[i]["slot"])
 
 
 # ---------------------------------------------------------------- 6: media
@@ -293,6 +370,18 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.encode(text.encode()), dtype=enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_another_tokenizer_encodes_whole_texts(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert token_records.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_word
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, library = token_records.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.by_word
+    for text in ["two  words", " a\nb ", *(r["text"] for r in docs.limit(20).collect())]:
+        assert np.frombuffer(enc.encode(text.encode()), dtype=enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_damaged_record_and_shuffled_read(spark, docs, tmp_path):
     from pyarrow import fs
 
@@ -352,6 +441,25 @@ def test_secret_owners(spark, odd):
     found = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {1: f"owned:5:{5 + len(live)}", 2: "", 3: "", 4: "", 5: "", 6: f"assign:0:{6 + len(live)}"}
     assert secrets.secrets(clashing(odd)).count() == len(ODD) and secrets.secrets(odd.limit(0)).count() == 0
+    # one owner, many repositories: copied as well; a doc_id with two texts is one repository, null ids are one a text
+    wide = [(k, f"t{k} {live}", "en", "a", 0) for k in range(4)] + [(3, f"again {live}", "en", "a", 0), (None, f"none {live}", "en", "a", 0), (None, f"other {live}", "en", "a", 0)]
+    df = spark.createDataFrame(wide, SCHEMA)
+    for bound, spans in ((6, 0), (7, 7)):
+        out = secrets.secrets(df, copied_repositories=bound).collect()
+        assert sum(r["spans"] != "" for r in out) == spans
+        assert bound == 6 or {(r["repositories"], r["owners"], r["n_live"]) for r in out} == {(6, 1, 1)}
+
+
+def test_spans_that_base_spans_overlap(spark):
+    rng = random.Random(6)
+    rows = []
+    for node in range(20):
+        for _ in range(rng.randint(1, 30)):
+            start = rng.randrange(200)
+            rows.append((node, rng.randrange(4), start, start + rng.randint(1, 30), "v"))
+    df = spark.createDataFrame(rows, "node int, rank int, start int, end int, value string")
+    want = [r for r in rows if r[1] < 3 or not any(b[0] == r[0] and b[1] < 3 and b[2] < r[3] and r[2] < b[3] for b in rows)]
+    assert Counter(map(tuple, secrets.outside_base(df).collect())) == Counter(want)
 
 
 # ---------------------------------------------------------------- 9: decontamination
@@ -371,7 +479,7 @@ def test_decontamination(spark, docs, odd):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
     assert found == {(d, i) for d in (1, 2, 6, 7) for i in (1, 5)} | {(5, 2)}
     kept = decontaminate.keep_clean(clashing(df), bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4] and kept.columns == clashing(df).columns
+    assert sorted(r["doc_id"] for r in unharmed(kept)) == [3, 4] and kept.columns == clashing(df).columns
     assert decontaminate.contaminated(odd, bench).count() == 0 and decontaminate.keep_clean(odd, bench).count() == len(ODD)
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
@@ -418,6 +526,14 @@ def test_seeds_hit_every_pattern(n):
     assert n < 20 or n // 5 < 3 * (n // 10)
 
 
+def test_decontamination_of_repeated_words(spark):
+    item = " ".join(["so"] * 40 + [f"w{k}" for k in range(10)])
+    rows = [(1, "so " * 30_000 + "end", "en", "a", 0), (2, "so " * 12, "en", "a", 0), (3, "a b " * 5_000, "en", "a", 0)]
+    bench = spark.createDataFrame([(1, item), (2, " ".join(["a", "b"] * 20))], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["overlap_words"], r["same_words"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, SCHEMA), bench).collect()}
+    assert found == {(1, 1, 40, 40), (3, 2, 40, 40)}
+
+
 def test_decontamination_short_items(spark):
     items = [[f"i{n}w{k}" for k in range(n)] for n in range(4, 11)]
     rows, want = [], set()
@@ -453,7 +569,29 @@ def test_language_id_odd_rows(odd):
     assert len(found) == len(ODD) and {r["lang_pred"] for r in found if r["doc_id"] in (1, 2, 5)} == {"und"}
     assert language_id.identify(odd.limit(0)).count() == 0
     kept = language_id.keep_identified(clashing(odd))
-    assert kept.columns == clashing(odd).columns
+    assert kept.columns == clashing(odd).columns and unharmed(kept) == []
+
+
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(8)
+    alphabets = {f"l{k:02}": [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiouy") for _ in range(8)] for k in range(9)}
+    rows = [(100 * i + j, " ".join("".join(rng.choice(parts) for _ in range(4)) for _ in range(40)), lang, None, None) for i, (lang, parts) in enumerate(alphabets.items()) for j in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    families = {lang: f"family {k % 3}" for k, lang in enumerate(alphabets)}
+    found = language_id.identify(df, families=families).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in found if r["held_out"]]) > 0.97
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df.repartition(3), families=families).collect()} == {r["doc_id"]: r["lang_pred"] for r in found}
+    with pytest.raises(ValueError):
+        language_id.fit(df, most_languages=5)
+
+
+def test_machine_separates():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 10))
+    y = np.where(x @ np.arange(10) + 3 > 0, 1.0, -1.0)
+    w, b = language_id.train_machine(x, y, cost=10.0, rounds=300)
+    assert (np.sign(x @ w + b) == y).mean() > 0.98
 
 
 # ---------------------------------------------------------------- the pipeline
@@ -471,6 +609,8 @@ def test_pipeline(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, last, folder)
         assert out.columns == docs.columns, name
+        if name != "language_id":
+            unharmed(out)
         out.write.parquet(f"{tmp_path}/{name}")
         last = spark.read.parquet(f"{tmp_path}/{name}")
         if name == "language_id":
