@@ -37,6 +37,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalize(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
 
 
+def token_total(text: Column) -> Column:
+    """How many tokens a text has, without making them; null for null."""
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def distinct_tokens(text: Column, longer_than: int = 0) -> Column:
     return F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) > longer_than))
 

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunks(chunk_id, content) -> term, chunk_id, tf, length."""
-    t = chunks.select("chunk_id", T.tokens(F.col("content")).alias("t"))
-    t = t.select("chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return t.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows; beyond that Spark joins by exchanges."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def postings(chunks: DataFrame, terms: DataFrame, fields: list[str]) -> DataFrame:
+    """chunks(chunk_id, fields), terms(term) -> chunk_id, field, length, term, tf: only of the terms asked for.
+
+    Tokens of other terms go before the exchange where the terms are few. All postings of a chunk lie together.
+    """
+    own = F.array(*(F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("t")) for f in fields))
+    t = chunks.select("chunk_id", F.explode(own).alias("x")).select("chunk_id", "x.field", F.size("x.t").alias("length"), F.explode("x.t").alias("term"))
+    hits = t.join(terms, "term", "left_semi").repartition("chunk_id")
+    return hits.groupBy("chunk_id", "field", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def ranked(scored: DataFrame, score: str, tie: list[str], by: list[str], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -22,22 +31,25 @@ def ranked(scored: DataFrame, score: str, tie: list[str], by: list[str], k: int
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """chunks(chunk_id, content), queries(query_id, text) -> query_id, chunk_id, score, rank: the top k of each query.
+def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, fields: dict[str, float] | None = None) -> DataFrame:
+    """chunks(chunk_id, content or the fields), queries(query_id, text) -> query_id, chunk_id, score, rank: the top k of each query.
 
-    Only postings of query terms are scored; scores are summed before the shuffle to the query.
+    fields: boosts; a chunk scores as its best field does, each field with its own frequencies and mean length. A null field is none.
+    Scores are summed where the chunk's postings lie, and each task passes on its own top k; only they are shuffled to the query.
     """
-    post = postings(chunks)
-    size = chunks.select(F.size(T.tokens(F.col("content"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("average"))
+    fields = fields or {"content": 1.0}
     terms = queries.select("query_id", F.explode(T.distinct_tokens(F.col("text"))).alias("term"))
-    hit = post.join(terms.select("term").distinct(), "term")
-    frequency = hit.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = hit.join(frequency, "term").crossJoin(F.broadcast(size))  # one row
+    hits = postings(chunks, small(terms.select("term").distinct()), list(fields))
+    sizes = chunks.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), T.token_total(F.col(f)).alias("n")) for f in fields))).alias("x")).select("x.*")
+    sizes = sizes.where("n is not null").groupBy("field").agg(F.count("*").alias("docs"), F.avg("n").alias("average"))  # one row a field
+    frequency = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    boost = F.create_map(*(F.lit(x) for pair in fields.items() for x in pair))[F.col("field")]
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = weighted.select("term", "chunk_id", part.alias("part")).join(terms, "term")
-    scored = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scored, "score", ["chunk_id"], ["query_id"], k)
+    asked = terms.join(frequency, "term").join(F.broadcast(sizes), "field").select("query_id", "field", "term", idf.alias("idf"), "average", boost.alias("boost"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    scored = hits.join(small(asked), ["field", "term"]).groupBy("query_id", "chunk_id", "field", "boost").agg(F.sum(part).alias("part"))
+    best = scored.groupBy("query_id", "chunk_id").agg(F.round(F.max(F.col("boost") * F.col("part")), 6).alias("score"))
+    return ranked(best, "score", ["chunk_id"], ["query_id"], k)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators.chunking import word_chunks
-from lexmill.operators.ranking import bm25
+from lexmill.operators.ranking import bm25, knn, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +69,44 @@ def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, sf_dir: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, doc_id, score, rank."""
+    """query_id, chunk_id, doc_id, source, content, ordinal, score, rank."""
     c = chunks(spark, sf_dir)
-    hits = bm25(c.select("chunk_id", "content"), query_table(spark, sf_dir), k, k1, b)
-    return hits.join(c.select("chunk_id", "doc_id", "source", "content", "ordinal"), "chunk_id")
+    queries = query_table(spark, sf_dir)
+    hits = bm25(c.select("chunk_id", "content"), queries, k, k1, b)
+    few = queries.count() * k <= 500_000  # the top k of all queries, so that only their chunks' texts move
+    return c.select("chunk_id", "doc_id", "source", "content", "ordinal").join(F.broadcast(hits) if few else hits, "chunk_id")
+
+
+FIELDS = {"title": 3.0, "alias": 4.0, "path": 2.0, "content": 1.0}
+
+
+def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with more fields: title (the document's first five words), alias (its source's name), path (language and source)."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 5), " ").alias("title"), F.col("source").alias("alias"), F.concat_ws(" ", "lang", "source").alias("path")
+    )
+    return chunks(spark, sf_dir).join(d, "doc_id")
+
+
+def dense(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    """query_id, chunk_id, doc_id, source, ordinal, score, rank: documents near a query by vector, each by its first chunk.
+
+    The vector of a document or query is the embedding of the same number.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    q = query_table(spark, sf_dir).select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    near = knn(e.join(d, "vec_id", "left_semi").select("vec_id", "embedding"), q, k).withColumnRenamed("vec_id", "doc_id")
+    heads = chunks(spark, sf_dir).where("ordinal = 0").select("doc_id", "chunk_id", "source", "ordinal")
+    return heads.join(near, "doc_id")
+
+
+DENSE = (
+    "dense_s AS (SELECT b.item_id AS query_id, v.vec_id AS doc_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6) AS score "
+    "FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)), "
+    "dense_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense_s WHERE score > 0), "
+    "dense AS (SELECT r.query_id, c.chunk_id, r.doc_id, c.source, c.ordinal, r.score, r.rank FROM dense_r r JOIN chunks c ON c.doc_id = r.doc_id AND c.ordinal = 0 WHERE r.rank <= 20)"
+)
 
 
 def lexical_sql(name: str = "hits", k: int = 20, k1: float = 1.2, b: float = 0.75) -> str:
@@ -93,21 +127,26 @@ def lexical_sql(name: str = "hits", k: int = 20, k1: float = 1.2, b: float = 0.7
     )
 
 
-def containments(docs: DataFrame, passages: DataFrame, n: int = 5) -> DataFrame:
+def containments(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs(doc_id, text), passages(query_id, text) -> query_id, doc_id where the text contains the passage.
 
-    Keyed by the passage's second to sixth words (whole wherever it stands), its second word where it has three to six words; a passage of
-    fewer than three words has no whole inner word and matches nothing. Candidates are checked on the texts.
+    Wherever a passage stands its inner words stand whole. Of these the one that the fewest documents have is its key: only passages' words
+    pass the exchange, and only documents with a key are compared. A passage of under three words has no inner word and is compared with every document.
     """
     w = T.words(F.col("text"))
     p = passages.select("query_id", F.col("text").alias("passage"), w.alias("w"))
-    keys = p.where(F.size("w") >= 3).withColumn("key", F.when(F.size("w") >= n + 2, F.array_join(F.slice("w", 2, n), " ")).otherwise(F.get("w", F.lit(1))))
-    keys = keys.drop("w")
-    d = docs.select("doc_id", w.alias("w")).where(F.size("w") > 0)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))
-    seen = d.select("doc_id", F.explode(F.array_union(grams, F.col("w"))).alias("key"))
-    near = seen.join(keys, "key").select("doc_id", "query_id", "passage").distinct()
-    return near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    inner = p.where(F.size("w") >= 3).select("query_id", "passage", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    words = small(inner.select("word").distinct())
+    seen = docs.select("doc_id", F.explode(F.array_distinct(w)).alias("word")).join(words, "word", "left_semi")
+    df = seen.groupBy("word").agg(F.count("*").alias("df"))
+    rare = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))["word"]
+    keys = inner.join(df, "word", "left").groupBy("query_id", "passage").agg(rare.alias("word"))
+    near = docs.select("doc_id", "text", F.explode(F.array_distinct(w)).alias("word")).join(small(keys), "word")
+    found = near.where(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = p.where(F.size("w") < 3).select("query_id", "passage")
+    if not short.isEmpty():
+        found = found.unionByName(docs.join(short, F.contains("text", "passage")).select("query_id", "doc_id"))
+    return found.distinct()
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ from lexmill.functions import text as T
 from lexmill.operators import ranking as R
 from lexmill.operators.chunking import with_neighbors
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, chunks, lexical, lexical_sql, query_table, table, toks
+from lexmill.plans.relations import CHUNKS, DENSE, FIELDS, chunks, dense, fielded, lexical, lexical_sql, query_table, table, toks, words
 
 _HITS = f"{CHUNKS}, {lexical_sql()}"
-_LANES = f"{CHUNKS}, {lexical_sql('hits')}, {lexical_sql('flat', k1=2.0, b=0.3)}"
+_LANES = f"{CHUNKS}, {lexical_sql('hits')}, {DENSE}"
 
 
 @query(f"WITH {CHUNKS}, {lexical_sql(k=10)} SELECT query_id, chunk_id, doc_id, score, rank FROM hits")
@@ -20,6 +20,27 @@ def r_bm25(spark, sf_dir):
     return lexical(spark, sf_dir, 10).select("query_id", "chunk_id", "doc_id", "score", "rank")
 
 
+_FIELDED = (
+    f"{CHUNKS}, heads AS (SELECT doc_id, array_to_string(list_slice({words('text')}, 1, 5), ' ') AS title, source AS alias, concat_ws(' ', lang, source) AS path FROM documents), "
+    "own AS (SELECT chunk_id, content, title, alias, path FROM chunks JOIN heads USING (doc_id)), "
+    f"f AS ({' UNION ALL '.join(f'SELECT chunk_id, {chr(39)}{f}{chr(39)} AS field, CAST({boost} AS DOUBLE) AS boost, {toks(f)} AS t FROM own WHERE {f} IS NOT NULL' for f, boost in FIELDS.items())}), "
+    "z AS (SELECT field, count(*) AS docs, avg(len(t)) AS average FROM f GROUP BY field), "
+    f"q AS (SELECT DISTINCT item_id AS query_id, unnest({toks('text')}) AS term FROM benchmark), "
+    "u AS (SELECT chunk_id, field, boost, len(t) AS length, unnest(t) AS term FROM f), "
+    "p AS (SELECT chunk_id, field, boost, length, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), "
+    "d AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), "
+    "s AS (SELECT q.query_id, p.chunk_id, p.field, p.boost * sum(ln(1 + (z.docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.length / z.average))) AS score "
+    "FROM p JOIN d USING (field, term) JOIN z USING (field) JOIN q USING (term) GROUP BY q.query_id, p.chunk_id, p.field, p.boost), "
+    "m AS (SELECT query_id, chunk_id, round(max(score), 6) AS score FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m)"
+)
+
+
+@query(f"WITH {_FIELDED} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
+def r_bm25_fields(spark, sf_dir):
+    """The best of four boosted fields."""
+    return R.bm25(fielded(spark, sf_dir).select("chunk_id", *FIELDS), query_table(spark, sf_dir), fields=FIELDS)
+
+
 @query(
     "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6) AS score "
     "FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) "
@@ -33,13 +54,13 @@ def r_knn(spark, sf_dir):
 
 
 def _lanes(spark, sf_dir):
-    a, b = lexical(spark, sf_dir), lexical(spark, sf_dir, k1=2.0, b=0.3)
+    """The lexical and the dense lane."""
     keep = ["query_id", "source", "doc_id", "chunk_id", "score", "rank"]
-    return a.select(*keep, F.lit("bm25").alias("lane")).unionByName(b.select(*keep, F.lit("flat").alias("lane")))
+    return lexical(spark, sf_dir).select(*keep, F.lit("bm25").alias("lane")).unionByName(dense(spark, sf_dir).select(*keep, F.lit("dense").alias("lane")))
 
 
 @query(
-    f"WITH {_LANES}, lanes AS (SELECT query_id, source, doc_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, source, doc_id, chunk_id, rank FROM flat), "
+    f"WITH {_LANES}, lanes AS (SELECT query_id, source, doc_id, chunk_id, rank FROM hits UNION ALL SELECT query_id, source, doc_id, chunk_id, rank FROM dense), "
     "f AS (SELECT query_id, source, doc_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lanes FROM lanes GROUP BY query_id, source, doc_id, chunk_id) "
     "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id, chunk_id) AS rank FROM f"
 )
@@ -48,7 +69,7 @@ def r_rrf(spark, sf_dir):
 
 
 @query(
-    f"WITH {_LANES}, lanes AS (SELECT query_id, chunk_id, score FROM hits UNION ALL SELECT query_id, chunk_id, score FROM flat), "
+    f"WITH {_LANES}, lanes AS (SELECT query_id, chunk_id, score FROM hits UNION ALL SELECT query_id, chunk_id, score FROM dense), "
     "m AS (SELECT query_id, chunk_id, max(score) AS score FROM lanes GROUP BY query_id, chunk_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m"
 )
 def r_merge(spark, sf_dir):
