@@ -100,6 +100,14 @@ def values(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(VALUES), F.lit(0))), 1, most)
 
 
+def names(text: Column, most: int = 10) -> Column:
+    """Words of three and more Latin or Cyrillic letters with a capital in front, no stop words; each once by its normal form, the first few."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё-]{2,}"), F.lit(0)), lambda w: F.btrim(w, F.lit("-")))
+    found = F.filter(found, lambda w: w.rlike(r"^\p{Lu}") & (normalize(w) != "") & ~normalize(w).isin(*STOPWORDS))
+    forms = F.transform(found, normalize)
+    return F.slice(F.filter(found, lambda w, i: F.array_position(forms, normalize(w)) == i + 1), 1, most)
+
+
 def codes(text: Column) -> Column:
     """Codes such as AB-12, each once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}-\d+\b"), F.lit(0)))
