@@ -32,16 +32,36 @@ def published(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     return chunks.join(ok, ["doc_id", "version"], "left_semi")
 
 
-def readable(resources: DataFrame, grants: DataFrame, members: DataFrame) -> DataFrame:
-    """resources(resource_id, owner_id, base_id, inherits), grants(kind, resource_id, principal_kind, principal_id),
-    members(principal_id, group_id) -> (principal_id, resource_id) pairs, each once: owners, direct and group grants, and
-    grants on the base where the resource inherits them.
+def permitted(asked: DataFrame, resources: DataFrame, grants: DataFrame, members: DataFrame, admins: DataFrame) -> DataFrame:
+    """asked(principal_id, resource_id) -> the pairs that are allowed something: principal_id, resource_id, level ('read' or 'write').
+
+    resources(resource_id, owner_id, base_id, base_owner_id, inherits), grants(kind, target_id, principal_kind, principal_id, level),
+    members(principal_id, group_id), admins(principal_id). Allowed are admins, the owners of a resource and of its base, direct and
+    group grants, and grants on the base where the resource inherits them; write includes read.
+
+    Only what is asked is expanded: a pair meets grants by (target, principal) or (target, group), never by base or group alone.
     """
-    direct = grants.where("principal_kind = 'user'").select("kind", "resource_id", "principal_id")
-    group = grants.where("principal_kind = 'group'").withColumnRenamed("principal_id", "group_id").join(members, "group_id").select("kind", "resource_id", "principal_id")
-    every = direct.unionByName(group)
-    own = resources.select(F.col("owner_id").alias("principal_id"), "resource_id")
-    on_resource = every.where("kind = 'resource'").select("principal_id", "resource_id").join(resources.select("resource_id"), "resource_id", "left_semi")
-    on_base = every.where("kind = 'base'").select("principal_id", F.col("resource_id").alias("base_id"))
-    inherited = resources.where("inherits").select("resource_id", "base_id").join(on_base, "base_id").select("principal_id", "resource_id")
-    return own.unionByName(on_resource.select("principal_id", "resource_id")).unionByName(inherited).distinct()
+    a = asked.distinct().join(resources, "resource_id")
+    level = F.when(F.col("level") == "write", 2).otherwise(1).alias("n")
+    on = lambda kind, who: grants.where((F.col("kind") == kind) & (F.col("principal_kind") == who)).select(F.col("target_id").alias("t"), F.col("principal_id").alias("p"), level).groupBy("t", "p").agg(F.max("n").alias("n"))
+    grouped = a.join(members, "principal_id")
+    found = a.where((F.col("owner_id") == F.col("principal_id")) | (F.col("base_owner_id") == F.col("principal_id"))).select("principal_id", "resource_id", F.lit(2).alias("n"))
+    found = found.unionByName(a.join(admins, "principal_id", "left_semi").select("principal_id", "resource_id", F.lit(2).alias("n")))
+    for rows, target, kind in ((a, "resource_id", "resource"), (a.where("inherits"), "base_id", "base")):
+        g = on(kind, "user")
+        found = found.unionByName(rows.join(g, (F.col(target) == g.t) & (F.col("principal_id") == g.p)).select("principal_id", "resource_id", "n"))
+    for rows, target, kind in ((grouped, "resource_id", "resource"), (grouped.where("inherits"), "base_id", "base")):
+        g = on(kind, "group")
+        found = found.unionByName(rows.join(g, (F.col(target) == g.t) & (F.col("group_id") == g.p)).select("principal_id", "resource_id", "n"))
+    best = found.groupBy("principal_id", "resource_id").agg(F.max("n").alias("n"))
+    return best.select("principal_id", "resource_id", F.when(F.col("n") == 2, "write").otherwise("read").alias("level"))
+
+
+def partial_bases(allowed: DataFrame, resources: DataFrame) -> DataFrame:
+    """allowed(principal_id, resource_id) -> principal_id, base_id, n: bases of which a principal sees at least a shell, for the resources inside."""
+    return allowed.join(resources.select("resource_id", "base_id"), "resource_id").groupBy("principal_id", "base_id").agg(F.count("*").alias("n"))
+
+
+def visible(evidence: DataFrame) -> DataFrame:
+    """evidence(current_retrievable, ...): all but what is marked as no longer retrievable."""
+    return evidence.where(F.coalesce("current_retrievable", F.lit(True)))

@@ -25,6 +25,7 @@ def query(sql: str | None = None):
 from lexmill.plans import (  # noqa: E402
     evaluation_queries,  # noqa: F401
     gate_queries,  # noqa: F401
+    lookup_queries,  # noqa: F401
     quality_queries,  # noqa: F401
     record_queries,  # noqa: F401
     research_queries,  # noqa: F401

@@ -77,10 +77,9 @@ def m_rank_margin(spark, sf_dir):
     return Q.margins(h)
 
 
-@query(f"WITH {_TASKS} SELECT family, language, string_agg(DISTINCT config, ',' ORDER BY config) AS contracts FROM tasks WHERE task_id % 50 < 2 GROUP BY family, language HAVING count(DISTINCT config) > 1")
+@query(f"WITH {_TASKS} SELECT family, language, string_agg(DISTINCT config, ',' ORDER BY config) AS contracts FROM tasks GROUP BY family, language HAVING count(DISTINCT config) > 1")
 def g_contract_mix(spark, sf_dir):
-    """Results of the task series 0 and 1."""
-    return Q.contract_mixes(_tasks(spark, sf_dir).where("task_id % 50 < 2"), ["family", "language"], "config").withColumn("contracts", F.array_join("contracts", ","))
+    return Q.contract_mixes(_tasks(spark, sf_dir), ["family", "language"], "config").withColumn("contracts", F.array_join("contracts", ","))
 
 
 @query(

@@ -30,29 +30,47 @@ def f_authority(spark, sf_dir):
     return A.published(c, meta(spark, sf_dir)).select("chunk_id")
 
 
-@query(
-    "WITH r AS (SELECT o_orderkey AS resource_id, o_custkey AS owner_id, o_orderkey % 7 AS base_id, o_orderkey % 2 = 0 AS inherits FROM orders), "
-    "m AS (SELECT c_custkey AS principal_id, CAST(c_nationkey AS BIGINT) AS group_id FROM customer), "
-    "g AS (SELECT o_orderkey AS resource_id, o_orderkey % 25 AS group_id FROM orders WHERE o_orderkey % 11 = 0), "
-    "d AS (SELECT o_orderkey AS resource_id, o_custkey + 1 AS principal_id FROM orders WHERE o_orderkey % 13 = 0), "
-    "b AS (SELECT CAST(n_nationkey % 7 AS BIGINT) AS base_id, CAST(n_nationkey AS BIGINT) AS group_id FROM nation WHERE n_nationkey % 5 = 0) "
-    "SELECT owner_id AS principal_id, resource_id FROM r UNION SELECT m.principal_id, g.resource_id FROM g JOIN m ON g.group_id = m.group_id UNION SELECT principal_id, resource_id FROM d "
-    "UNION SELECT m.principal_id, r.resource_id FROM b JOIN m ON b.group_id = m.group_id JOIN r ON r.base_id = b.base_id AND r.inherits"
+_ACL = (
+    "res AS (SELECT o_orderkey AS resource_id, o_custkey AS owner_id, o_orderkey % 7 AS base_id, (o_orderkey % 7) * 100 + 1 AS base_owner_id, o_orderkey % 2 = 0 AS inherits FROM orders), "
+    "mem AS (SELECT c_custkey AS principal_id, CAST(c_nationkey AS BIGINT) AS group_id FROM customer), "
+    "gr AS (SELECT 'resource' AS kind, o_orderkey AS target_id, 'group' AS who, o_orderkey % 25 AS principal_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n FROM orders WHERE o_orderkey % 11 = 0 "
+    "UNION ALL SELECT 'resource', o_orderkey, 'user', o_custkey + 1, 1 FROM orders WHERE o_orderkey % 13 = 0 "
+    "UNION ALL SELECT 'base', CAST(n_nationkey % 7 AS BIGINT), 'group', CAST(n_nationkey AS BIGINT), 1 FROM nation WHERE n_nationkey % 5 = 0), "
+    "asked AS (SELECT DISTINCT unnest([o_custkey, o_custkey + 1, o_custkey + 2, 1 + o_orderkey % 10]) AS principal_id, o_orderkey AS resource_id FROM orders), "
+    "a AS (SELECT * FROM asked JOIN res USING (resource_id)), am AS (SELECT a.*, mem.group_id FROM a JOIN mem USING (principal_id)), "
+    "f AS (SELECT principal_id, resource_id, 2 AS n FROM a WHERE owner_id = principal_id OR base_owner_id = principal_id OR principal_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 97 = 0) "
+    "UNION ALL SELECT a.principal_id, a.resource_id, gr.n FROM a JOIN gr ON who = 'user' AND gr.principal_id = a.principal_id AND ((kind = 'resource' AND target_id = resource_id) OR (kind = 'base' AND inherits AND target_id = base_id)) "
+    "UNION ALL SELECT am.principal_id, am.resource_id, gr.n FROM am JOIN gr ON who = 'group' AND gr.principal_id = am.group_id AND ((kind = 'resource' AND target_id = resource_id) OR (kind = 'base' AND inherits AND target_id = base_id))), "
+    "ok AS (SELECT principal_id, resource_id, CASE max(n) WHEN 2 THEN 'write' ELSE 'read' END AS level FROM f GROUP BY principal_id, resource_id)"
 )
-def f_acl(spark, sf_dir):
-    """Customers are principals, nations their groups, orders the resources."""
+
+
+def _acl(spark, sf_dir):
+    """Customers are principals, nations their groups, orders the resources; each order is asked for by its owner, the next two and ten others."""
     o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    resources = o.select(k.alias("resource_id"), F.col("o_custkey").alias("owner_id"), (k % 7).alias("base_id"), (k % 2 == 0).alias("inherits"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    resources = o.select(k.alias("resource_id"), c.alias("owner_id"), (k % 7).alias("base_id"), ((k % 7) * 100 + 1).alias("base_owner_id"), (k % 2 == 0).alias("inherits"))
     members = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("principal_id"), F.col("c_nationkey").cast("long").alias("group_id"))
-    row = lambda kind, who, rid, pid: [F.lit(kind).alias("kind"), rid.alias("resource_id"), F.lit(who).alias("principal_kind"), pid.alias("principal_id")]
+    grant = lambda kind, target, who, pid, level: [F.lit(kind).alias("kind"), target.alias("target_id"), F.lit(who).alias("principal_kind"), pid.alias("principal_id"), level.alias("level")]
     n = F.col("n_nationkey").cast("long")
     grants = (
-        o.where("o_orderkey % 11 = 0").select(*row("resource", "group", k, k % 25))
-        .unionByName(o.where("o_orderkey % 13 = 0").select(*row("resource", "user", k, F.col("o_custkey") + 1)))
-        .unionByName(table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(*row("base", "group", n % 7, n)))
+        o.where("o_orderkey % 11 = 0").select(*grant("resource", k, "group", k % 25, F.when(k % 2 == 0, "write").otherwise("read")))
+        .unionByName(o.where("o_orderkey % 13 = 0").select(*grant("resource", k, "user", c + 1, F.lit("read"))))
+        .unionByName(table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(*grant("base", n % 7, "group", n, F.lit("read"))))
     )
-    return A.readable(resources, grants, members)
+    asked = o.select(F.explode(F.array(c, c + 1, c + 2, 1 + k % 10)).alias("principal_id"), k.alias("resource_id"))
+    admins = table(spark, sf_dir, "customer").where("c_custkey % 97 = 0").select(F.col("c_custkey").alias("principal_id"))
+    return A.permitted(asked, resources, grants, members, admins), resources
+
+
+@query(f"WITH {_ACL} SELECT principal_id, resource_id, level FROM ok")
+def f_acl(spark, sf_dir):
+    return _acl(spark, sf_dir)[0]
+
+
+@query(f"WITH {_ACL} SELECT principal_id, base_id, count(*) AS n FROM ok JOIN res USING (resource_id) GROUP BY principal_id, base_id")
+def f_acl_bases(spark, sf_dir):
+    return A.partial_bases(*_acl(spark, sf_dir))
 
 
 @query(

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
 from lexmill.operators import research as R
 from lexmill.operators.ranking import bm25
 from lexmill.operators.selection import fresh_questions, select_context
 from lexmill.plans.catalog import query
+from lexmill.plans.gate_queries import _FLAT, _sig
 from lexmill.plans.relations import CASES, CHUNKS, cases, chunks, lexical, lexical_sql, query_table, table, toks
 
 _RUNS = (
@@ -88,30 +90,34 @@ def d_topic_questions(spark, sf_dir):
 
 
 @query(
-    f"WITH {CHUNKS}, {lexical_sql()}, t AS (SELECT h.query_id, h.chunk_id, list_distinct({toks('b.text')}) AS q, list_distinct({toks('h.content')}) AS c FROM hits h JOIN benchmark b ON h.query_id = b.item_id), "
-    "x AS (SELECT query_id, max(CAST(len(list_intersect(q, c)) = len(q) AS INTEGER)) AS whole, max(CAST(len(list_filter(list_intersect(q, c), lambda w: length(w) >= 5)) > 0 AS INTEGER)) AS part FROM t GROUP BY query_id) "
-    "SELECT b.item_id AS query_id, CASE WHEN whole = 1 THEN 1.0 WHEN part = 1 THEN 0.5 ELSE 0.0 END AS ratio FROM benchmark b LEFT JOIN x ON b.item_id = x.query_id "
-    "WHERE NOT regexp_matches(b.text, '(?i)\\?|;|\\bvs\\b|\\bversus\\b')"
+    "WITH " + CHUNKS + ", " + lexical_sql() + ", f AS (SELECT item_id AS query_id, " + _FLAT + " AS flat FROM benchmark), "
+    "l AS (SELECT *, list_filter(list_transform(string_split_regex(flat, '(?i)\\?|;|\\bvs\\b|\\bversus\\b'), lambda p: trim(p, ' ?!.')), lambda p: len(" + _sig("p") + ") > 0) AS parts FROM f), "
+    "p AS (SELECT query_id, unnest(CASE WHEN len(parts) <= 1 THEN [flat] ELSE list_slice(parts, 1, 6) END) AS part FROM l), n AS (SELECT *, row_number() OVER () AS part_no FROM p), "
+    f"t AS (SELECT n.query_id, part_no, list_distinct({toks('part')}) AS q, list_distinct({toks('h.content')}) AS c FROM n LEFT JOIN hits h ON h.query_id = n.query_id), "
+    "x AS (SELECT query_id, part_no, coalesce(max(CAST(len(q) > 0 AND len(list_intersect(q, c)) = len(q) AS INTEGER)), 0) AS whole, coalesce(max(CAST(len(list_filter(list_intersect(q, c), lambda w: length(w) >= 5)) > 0 AS INTEGER)), 0) AS part FROM t GROUP BY query_id, part_no) "
+    "SELECT query_id, avg(CASE WHEN whole = 1 THEN 1.0::DOUBLE WHEN part = 1 THEN 0.5 ELSE 0.0 END) AS ratio FROM x GROUP BY query_id"
 )
 def e_coverage(spark, sf_dir):
-    """Queries of one part."""
-    q = query_table(spark, sf_dir)
-    single = q.where(~F.col("text").rlike(r"(?i)\?|;|\bvs\b|\bversus\b"))
-    return R.coverage_ratio(R.coverage(single, lexical(spark, sf_dir)))
+    return R.coverage_ratio(R.coverage(query_table(spark, sf_dir), lexical(spark, sf_dir)))
 
 
 @query()
 def e_step_search(spark, sf_dir):
+    """The evidence of all four steps beside each query's state."""
     c = chunks(spark, sf_dir).select("chunk_id", "content")
     search = lambda q: bm25(c, q, 10).join(c, "chunk_id")
-    return R.step_search(query_table(spark, sf_dir), search, steps=2)[1]
+    evidence, state = R.step_search(query_table(spark, sf_dir), search)
+    return evidence.select("query_id", "chunk_id", "step", "score").join(state, "query_id", "right")
 
 
 @query()
 def r_select_context(spark, sf_dir):
+    """Contents of under 60 words give way to the document's first 400."""
     q = query_table(spark, sf_dir).withColumnRenamed("text", "query")
-    c = lexical(spark, sf_dir).join(q, "query_id").select("query_id", "query", "rank", "chunk_id", "doc_id", F.col("source").alias("page"), F.col("source").alias("title"), "content", F.lit("").alias("parent"))
-    return select_context(c, budget=1500)
+    parents = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 400), " ").alias("parent"))
+    c = lexical(spark, sf_dir).join(q, "query_id").join(parents, "doc_id")
+    c = c.select("query_id", "query", "rank", "chunk_id", "doc_id", F.col("source").alias("page"), F.col("source").alias("title"), "content", "parent")
+    return select_context(c, budget=1500, short=60)
 
 
 @query()
