@@ -30,6 +30,7 @@ from lexmill.plans import (  # noqa: E402
     record_queries,  # noqa: F401
     research_queries,  # noqa: F401
     retrieval_queries,  # noqa: F401
+    run_queries,  # noqa: F401
     source_queries,  # noqa: F401
     text_queries,  # noqa: F401
 )

@@ -10,7 +10,7 @@ from lexmill.operators.ranking import bm25
 from lexmill.operators.selection import fresh_questions, select_context
 from lexmill.plans.catalog import query
 from lexmill.plans.gate_queries import _FLAT, _sig
-from lexmill.plans.relations import CASES, CHUNKS, cases, chunks, lexical, lexical_sql, query_table, table, toks
+from lexmill.plans.relations import CASES, CHUNKS, cases, chunks, lexical, lexical_sql, norm, query_table, table, toks
 
 _RUNS = (
     "runs AS (SELECT o_orderkey AS run_id, o_orderkey % 17 = 0 AS cancelled, o_orderkey % 13 = 0 AS paused, o_orderdate AS deadline, o_custkey % 9 AS episodes, o_custkey % 31 AS calls, "
@@ -77,13 +77,26 @@ def e_triggers(spark, sf_dir):
     return cases(spark).unionByName(c).select("id", R.needs_steps(F.col("text")).alias("needed"))
 
 
-@query()
+_ASKED = f"{CASES}, q AS (SELECT * FROM cases UNION ALL SELECT 1000 + item_id, text FROM benchmark), f AS (SELECT id, {_FLAT} AS whole FROM q)"
+
+
+@query(
+    f"WITH {_ASKED}, e AS (SELECT id, list_concat([whole], list_filter(list_transform(string_split_regex(whole, '(?i)\\?|;|\\bvs\\b|\\bversus\\b'), lambda p: regexp_replace(p, '^[ ?]+|[ ?]+$', '', 'g')), lambda p: p <> '')) AS each FROM f), "
+    f"v AS (SELECT id, flatten(list_transform(each, lambda p: [p, array_to_string(list_slice(list_filter({toks('p')}, lambda w: length(w) >= 6), 1, 6), ' ')])) AS vs FROM e), "
+    f"k AS (SELECT id, vs, list_transform(vs, lambda v: {norm('v')}) AS ks FROM v), o AS (SELECT id, list_slice(list_filter(vs, lambda v, i: ks[i] <> '' AND list_position(ks, ks[i]) = i), 1, 6) AS once FROM k) "
+    "SELECT id, generate_subscripts(once, 1) - 1 AS n, unnest(once) AS subquery FROM o"
+)
 def e_subqueries(spark, sf_dir):
     q = cases(spark).unionByName(query_table(spark, sf_dir).select((1000 + F.col("query_id")).alias("id"), "text"))
     return q.select("id", F.posexplode(R.subqueries(F.col("text"))).alias("n", "subquery")).select("id", F.col("n").cast("long").alias("n"), "subquery")
 
 
-@query()
+@query(
+    f"WITH {_ASKED}, e AS (SELECT id, whole, list_filter(list_transform(string_split_regex(whole, ' и |\\?'), lambda p: regexp_replace(p, '^[ ?.]+|[ ?.]+$', '', 'g')), lambda p: p <> '') AS parts FROM f), "
+    "v AS (SELECT id, CASE WHEN list_contains(parts, whole) THEN parts ELSE list_concat([whole], parts) END AS vs FROM e), k AS (SELECT id, vs, list_transform(vs, lambda v: lower(v)) AS ks FROM v), "
+    "o AS (SELECT id, list_slice(list_filter(vs, lambda v, i: ks[i] <> '' AND list_position(ks, ks[i]) = i), 1, 8) AS once FROM k) "
+    "SELECT id, generate_subscripts(once, 1) - 1 AS n, unnest(list_transform(once, lambda p: CASE WHEN ends_with(p, '?') THEN p ELSE p || '?' END)) AS question FROM o"
+)
 def d_topic_questions(spark, sf_dir):
     q = cases(spark).unionByName(query_table(spark, sf_dir).select((1000 + F.col("query_id")).alias("id"), "text"))
     return q.select("id", F.posexplode(R.topic_questions(F.col("text"))).alias("n", "question")).select("id", F.col("n").cast("long").alias("n"), "question")
