@@ -9,7 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import answers as A
 from lexmill.operators import evaluation as E
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CASES, CHUNKS, GOLD, cases, gold, lexical, lexical_sql, query_table, table, toks
+from lexmill.plans.relations import CHUNKS, GOLD, TEXTS, gold, lexical, lexical_sql, query_table, table, texts, toks
 
 _HITS = f"{CHUNKS}, {lexical_sql()}, {GOLD}, once AS (SELECT query_id, doc_id, min(rank) AS rank FROM hits GROUP BY query_id, doc_id)"
 #: Tasks: every order is the result of a task; configuration, family, language and split hang on its keys.
@@ -247,12 +247,12 @@ def w_apportion(spark, sf_dir):
 
 
 @query(
-    f"WITH {CASES}, p AS (SELECT id, unnest(string_split_regex(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')), '(?i)\\?|;|\\bvs\\b|\\bversus\\b')) AS part, text FROM cases), "
+    f"WITH {TEXTS}, p AS (SELECT id, unnest(string_split_regex(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')), '(?i)\\?|;|\\bvs\\b|\\bversus\\b')) AS part, text FROM cases), "
     f"m AS (SELECT id, count(*) FILTER (WHERE len(list_filter({toks('part')}, lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in T.STOPWORDS)}) AND NOT regexp_full_match(w, '[0-9]+'))) > 0) AS n FROM p GROUP BY id) "
     "SELECT id, CAST(least(6, greatest(1, n)) AS BIGINT) AS parts FROM m"
 )
 def a_parts(spark, sf_dir):
-    return cases(spark).select("id", F.size(A.query_parts(F.col("text"))).cast("long").alias("parts"))
+    return texts(spark, sf_dir).select("id", F.size(A.query_parts(F.col("text"))).cast("long").alias("parts"))
 
 
 @query(
@@ -275,11 +275,11 @@ def a_conflict(spark, sf_dir):
 
 
 @query(
-    f"WITH {CASES}, c AS (SELECT id, list_distinct(regexp_extract_all(text, '\\[(S\\d+)\\]', 1)) AS m FROM cases) SELECT id, CAST(len(m) AS BIGINT) AS cited, CAST(len(list_filter(m, lambda x: x NOT IN ('S1', 'S2'))) AS BIGINT) AS unknown FROM c"
+    f"WITH {TEXTS}, c AS (SELECT id, list_distinct(regexp_extract_all(text, '\\[(S\\d+)\\]', 1)) AS m FROM cases) SELECT id, CAST(len(m) AS BIGINT) AS cited, CAST(len(list_filter(m, lambda x: x NOT IN ('S1', 'S2'))) AS BIGINT) AS unknown FROM c"
 )
 def a_citations(spark, sf_dir):
     allowed = F.array(F.lit("S1"), F.lit("S2"))
-    return cases(spark).select("id", A.citations(F.col("text"), allowed).alias("x")).select("id", "x.*")
+    return texts(spark, sf_dir).select("id", A.citations(F.col("text"), allowed).alias("x")).select("id", "x.*")
 
 
 @query(

@@ -39,6 +39,15 @@ def quoted(text: str) -> str:
 
 CASES = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {quoted(t)})" for i, t in enumerate(CASE_TEXTS)) + ") AS t(id, text))"
 
+#: The literal cases beside every document and every turn of a conversation; needs no other relation.
+TEXTS = CASES.replace("cases AS (SELECT * FROM", "cases AS (SELECT id, text FROM", 1)[:-1] + " UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT 1000 + doc_id, text FROM documents WHERE text IS NOT NULL)"
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((1000000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    documents = table(spark, sf_dir, "documents").select((1000 + F.col("doc_id")).alias("id"), "text")
+    return cases(spark).unionByName(turns.unionByName(documents).where("text is not null"))
+
 
 def norm(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.embedding import hashed_embedding
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CASES, cases, quoted, table
+from lexmill.plans.relations import TEXTS, quoted, table, texts, words
 from lexmill.sources import collections, connectors, dumps, markup, uploads
 
 
@@ -119,16 +119,16 @@ def s_upload_failures(spark, sf_dir):
 
 
 @query(
-    f"WITH {CASES}, g AS (SELECT id, text, CASE WHEN id % 2 = 0 THEN 'Table.pdf' ELSE 'note.txt' END AS name, CASE WHEN id % 3 = 0 THEN 'Formula' ELSE '' END AS warning, CASE WHEN id % 4 = 0 THEN 'high_quality' ELSE 'fast' END AS profile FROM cases) "
+    f"WITH {TEXTS}, g AS (SELECT id, text, CASE WHEN id % 2 = 0 THEN 'Table.pdf' ELSE 'note.txt' END AS name, CASE WHEN id % 3 = 0 THEN 'Formula' ELSE '' END AS warning, CASE WHEN id % 4 = 0 THEN 'high_quality' ELSE 'fast' END AS profile FROM cases) "
     "SELECT id, concat_ws(',', CASE WHEN profile = 'high_quality' THEN 'high_quality_profile' END, CASE WHEN trim(text) = '' THEN 'empty_text' END, "
-    "CASE WHEN (length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1) > 0.01 THEN 'replacement_character_ratio' END, CASE WHEN name = 'Table.pdf' THEN 'scanned_or_low_text_pdf' END, "
+    f"CASE WHEN (length(text) - length(replace(text, chr(65533), ''))) / greatest(length(text), 1) > 0.01 THEN 'replacement_character_ratio' END, CASE WHEN name = 'Table.pdf' AND len({words('text')}) < 30 THEN 'scanned_or_low_text_pdf' END, "
     "CASE WHEN name = 'Table.pdf' AND id % 5 = 0 THEN 'expected_tables_missing' END, CASE WHEN warning = 'Formula' THEN 'complex_layout_signal' END) AS reasons FROM g"
 )
 def s_gate_reasons(spark, sf_dir):
     i = F.col("id")
     name, warning = F.when(i % 2 == 0, "Table.pdf").otherwise("note.txt"), F.when(i % 3 == 0, "Formula").otherwise("")
     profile = F.when(i % 4 == 0, "high_quality").otherwise("fast")
-    return cases(spark).select("id", F.array_join(uploads.gate_reasons(name, F.col("text"), warning, F.when(i % 5 == 0, 0).otherwise(1), profile), ",").alias("reasons"))
+    return texts(spark, sf_dir).select("id", F.array_join(uploads.gate_reasons(name, F.col("text"), warning, F.when(i % 5 == 0, 0).otherwise(1), profile), ",").alias("reasons"))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CASES, CHUNKS, cases, chunks, norm, table, toks, words
+from lexmill.plans.relations import CASES, CHUNKS, TEXTS, cases, chunks, norm, table, texts, toks, words
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -57,7 +57,7 @@ _MONTHS = ", ".join(f"'{m}'" for m in T.MONTHS)
 
 
 @query(
-    f"WITH {CASES}, f AS (SELECT id, "
+    f"WITH {TEXTS}, f AS (SELECT id, "
     r"regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b') AS iso, regexp_extract_all(text, '\b\d{1,2}\.\d{1,2}\.\d{4}\b') AS dotted, "
     rf"regexp_extract_all(lower(text), '\b\d{{1,2}} (?:{'|'.join(T.MONTHS)}) \d{{4}}\b') AS named FROM cases), "
     "s AS (SELECT id, 1 AS kind, unnest(iso) AS raw, unnest(range(0, len(iso))) AS pos FROM f UNION ALL "
@@ -68,17 +68,17 @@ _MONTHS = ", ".join(f"'{m}'" for m in T.MONTHS)
     "SELECT c.id, coalesce(string_agg(v.day, ',' ORDER BY v.place), '') AS days FROM cases c LEFT JOIN v ON c.id = v.id GROUP BY c.id"
 )
 def t_date_detect(spark, sf_dir):
-    return cases(spark).select("id", F.array_join(T.dates(F.col("text")), ",").alias("days"))
+    return texts(spark, sf_dir).select("id", F.array_join(T.dates(F.col("text")), ",").alias("days"))
 
 
 @query(
-    f"WITH {CASES}, v AS (SELECT id, unnest(x) AS value, unnest(range(0, len(x))) AS pos FROM (SELECT id, regexp_extract_all(text, '{T.VALUES}') AS x FROM cases)), "
+    f"WITH {TEXTS}, v AS (SELECT id, unnest(x) AS value, unnest(range(0, len(x))) AS pos FROM (SELECT id, regexp_extract_all(text, '{T.VALUES}') AS x FROM cases)), "
     "o AS (SELECT id, value, min(pos) AS pos FROM v GROUP BY id, value), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM o) "
     r"SELECT c.id, coalesce(string_agg(k.value, '|' ORDER BY k.pos), '') AS found, CAST(len(list_distinct(regexp_extract_all(any_value(c.text), '\b[A-Z]{2,}-\d+\b'))) AS BIGINT) AS codes "
     "FROM cases c LEFT JOIN k ON c.id = k.id AND k.n <= 8 GROUP BY c.id"
 )
 def t_values(spark, sf_dir):
-    return cases(spark).select("id", F.array_join(T.values(F.col("text")), "|").alias("found"), F.size(T.codes(F.col("text"))).cast("long").alias("codes"))
+    return texts(spark, sf_dir).select("id", F.array_join(T.values(F.col("text")), "|").alias("found"), F.size(T.codes(F.col("text"))).cast("long").alias("codes"))
 
 
 @query(
@@ -103,9 +103,9 @@ def t_stable_hash(spark, sf_dir):
     )
 
 
-@query(f"WITH {CASES} SELECT id, regexp_matches(lower(text), '{'|'.join(T.NO_ANSWER)}') AS no_answer, " + r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS answer_form FROM cases")
+@query(f"WITH {TEXTS} SELECT id, regexp_matches(lower(text), '{'|'.join(T.NO_ANSWER)}') AS no_answer, " + r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') AS answer_form FROM cases")
 def t_no_answer(spark, sf_dir):
-    return cases(spark).select("id", T.no_answer(F.col("text")).alias("no_answer"), T.answer_form(F.col("text")).alias("answer_form"))
+    return texts(spark, sf_dir).select("id", T.no_answer(F.col("text")).alias("no_answer"), T.answer_form(F.col("text")).alias("answer_form"))
 
 
 @query(
