@@ -32,5 +32,6 @@ from lexmill.plans import (  # noqa: E402
     retrieval_queries,  # noqa: F401
     run_queries,  # noqa: F401
     source_queries,  # noqa: F401
+    suite_queries,  # noqa: F401
     text_queries,  # noqa: F401
 )
