@@ -46,3 +46,21 @@ def parent_child(sections_: DataFrame, parent: int = 900, child: int = 220, tail
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "ordinal"))
     c = c.withColumn("k", first).where((F.col("n_words") >= tail) | (F.col("k") == 1))
     return c.select("doc_id", "section", F.col("ordinal").cast("long").alias("ordinal"), "n_words", F.least("n", F.lit(parent)).cast("long").alias("parent_words"))
+
+
+def page_chunks(pages: DataFrame, sections_: DataFrame, size: int = 220) -> DataFrame:
+    """pages(page_id, title, ns, redirect), sections(page_id, section, path, text) -> page_id, ordinal, section, path, chunk_index, content.
+
+    Pages of other name spaces go. A redirect is one chunk that says so, whatever sections it has; the others' sections are cut every
+    ``size`` words, none across a section. ordinal counts a page's chunks from 1, chunk_index those of a section.
+    """
+    articles = pages.where("ns = 0")
+    w = sections_.join(articles.where("redirect is null").select("page_id"), "page_id", "left_semi").select("page_id", "section", "path", T.words(F.col("text")).alias("w"))
+    c = w.where(F.size("w") > 0).select("page_id", "section", "path", "w", F.explode(F.expr(f"sequence(0L, (size(w) - 1) div {size})")).alias("i"))
+    ordinal = F.row_number().over(Window.partitionBy("page_id").orderBy("section", "i")).cast("long")
+    content = F.array_join(F.slice("w", (F.col("i") * size + 1).cast("int"), F.lit(size)), " ")
+    c = c.select("page_id", ordinal.alias("ordinal"), F.col("section").cast("long").alias("section"), "path", (F.col("i") + 1).alias("chunk_index"), content.alias("content"))
+    one = F.lit(1).cast("long")
+    said = F.concat("title", F.lit(" перенаправляет на "), "redirect", F.lit("."))
+    r = articles.where("redirect is not null").select("page_id", one.alias("ordinal"), F.lit(0).cast("long").alias("section"), F.col("title").alias("path"), one.alias("chunk_index"), said.alias("content"))
+    return c.unionByName(r)

@@ -177,3 +177,20 @@ def c_parent_child(spark, sf_dir):
     """Lines as sections."""
     s = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("section", "text"))
     return C.parent_child(s.withColumn("section", F.col("section").cast("long")))
+
+
+@query(
+    f"WITH p AS (SELECT doc_id AS page_id, 'T' || doc_id AS title, CASE WHEN doc_id % 9 = 0 THEN 'T' || (doc_id + 1) END AS redirect, text FROM documents WHERE doc_id % 5 <> 4 AND text IS NOT NULL), "
+    "s AS (SELECT page_id, title, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section FROM p WHERE redirect IS NULL), "
+    f"w AS (SELECT page_id, title, section, {words('body')} AS w FROM s), c AS (SELECT *, unnest(range(0, (len(w) + 219) // 220)) AS i FROM w WHERE len(w) > 0) "
+    "SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY section, i) AS ordinal, section, title || '/' || section AS path, i + 1 AS chunk_index, array_to_string(list_slice(w, i * 220 + 1, i * 220 + 220), ' ') AS content FROM c "
+    "UNION ALL SELECT page_id, 1, 0, title, 1, title || ' перенаправляет на ' || redirect || '.' FROM p WHERE redirect IS NOT NULL"
+)
+def c_page_chunks(spark, sf_dir):
+    """Documents as pages, their lines as sections; every fifth is in another name space, every ninth a redirect."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    title = F.concat(F.lit("T"), i.cast("string"))
+    pages = d.select(i.alias("page_id"), title.alias("title"), F.when(i % 5 == 4, 1).otherwise(0).alias("ns"), F.when(i % 9 == 0, F.concat(F.lit("T"), (i + 1).cast("string"))).alias("redirect"))
+    lines = d.select(i.alias("page_id"), title.alias("title"), F.posexplode(F.split("text", "\n")).alias("section", "text"))
+    return C.page_chunks(pages, lines.select("page_id", "section", F.concat_ws("/", "title", F.col("section").cast("string")).alias("path"), "text"))
