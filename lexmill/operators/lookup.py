@@ -174,3 +174,33 @@ def matching_lines(documents: DataFrame, requests: DataFrame) -> DataFrame:
     x = x.select("request_id", "doc_id", "terms", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     x = x.select("request_id", "doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.size(F.array_intersect("terms", T.tokens(F.col("line")))).cast("long").alias("hits"))
     return x.where("hits > 0")
+
+
+def bound_titles(asked: DataFrame, titles: DataFrame, redirects: DataFrame) -> DataFrame:
+    """asked(id, title), titles(title, doc_id), redirects(title, target) -> id, doc_id (the least), state: exact, redirect, ambiguous (several documents) or missing.
+
+    Titles meet in their normal form; a redirect counts only where no title does, and one step of it.
+    """
+    form = lambda c: T.normalize(F.col(c))
+    own = titles.groupBy(form("title").alias("k")).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("doc_id"))
+    via = redirects.select(form("title").alias("r"), form("target").alias("k")).distinct().join(own, "k").groupBy("r").agg(F.sum("n").alias("rn"), F.min("doc_id").alias("rdoc"))
+    a = asked.select("id", form("title").alias("k")).join(own, "k", "left").join(via, F.col("k") == F.col("r"), "left")
+    n = F.coalesce("n", "rn")
+    state = F.when(n.isNull(), "missing").when(n > 1, "ambiguous").when(F.col("n").isNotNull(), "exact").otherwise("redirect")
+    return a.select("id", F.coalesce("doc_id", "rdoc").alias("doc_id"), state.alias("state"))
+
+
+def bound_quotes(quotes: DataFrame, chunks: DataFrame, most: int = 4) -> DataFrame:
+    """quotes(quote_id, doc_id, quote), chunks(chunk_id, doc_id, ordinal, content) -> quote_id, first_chunk, n_chunks (null: not bound), matches.
+
+    A quote belongs to the one chunk of its document that contains it, else to the one shortest span of up to ``most`` chunks in a row, joined
+    without a separator. Several matches bind nothing.
+    """
+    w = Window.partitionBy("doc_id").orderBy("ordinal")
+    spans = chunks.select("doc_id", "chunk_id", F.array("content", *(F.lead("content", k).over(w) for k in range(1, most))).alias("c"))
+    spans = spans.select("doc_id", "chunk_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.get("c", n - 1).isNotNull(), F.array_join(F.slice(F.col("c"), F.lit(1), n), "")))).alias("k", "text"))
+    hit = quotes.join(spans, "doc_id").where(F.contains("text", "quote")).select("quote_id", "chunk_id", (F.col("k") + 1).cast("long").alias("n"))
+    least = hit.groupBy("quote_id").agg(F.min("n").alias("least"))
+    g = hit.join(least, "quote_id").where("n = least").groupBy("quote_id", "n").agg(F.count("*").alias("matches"), F.min("chunk_id").alias("chunk_id"))
+    one = F.col("matches") == 1
+    return quotes.select("quote_id").join(g, "quote_id", "left").select("quote_id", F.when(one, F.col("chunk_id")).alias("first_chunk"), F.when(one, F.col("n")).alias("n_chunks"), F.coalesce("matches", F.lit(0)).alias("matches"))

@@ -206,3 +206,36 @@ def d_matching_lines(spark, sf_dir):
     """Lines of each query's best document that have one of its terms."""
     best = lexical(spark, sf_dir, 1).select("query_id", "doc_id").join(query_table(spark, sf_dir), "query_id")
     return L.matching_lines(table(spark, sf_dir, "documents"), best.select(F.col("query_id").alias("request_id"), "doc_id", F.col("text").alias("query")))
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Title ' || o_custkey % 60 WHEN 1 THEN 'other, ' || o_custkey % 60 ELSE 'nobody ' || o_custkey END AS title FROM orders), "
+    "t AS (SELECT 'title ' || page_id % 50 AS k, page_id FROM pages WHERE page_id < 52), own AS (SELECT k, count(DISTINCT page_id) AS n, min(page_id) AS doc_id FROM t GROUP BY k), "
+    "via AS (SELECT 'other ' || page_id % 60 AS r, sum(n) AS rn, min(own.doc_id) AS rdoc FROM (SELECT DISTINCT page_id % 60 AS page_id FROM pages) JOIN own ON own.k = 'title ' || (page_id % 60 + 1) GROUP BY 1) "
+    f"SELECT id, coalesce(doc_id, rdoc) AS doc_id, CASE WHEN coalesce(n, rn) IS NULL THEN 'missing' WHEN coalesce(n, rn) > 1 THEN 'ambiguous' WHEN n IS NOT NULL THEN 'exact' ELSE 'redirect' END AS state FROM a LEFT JOIN own ON {norm('title')} = k LEFT JOIN via ON {norm('title')} = r"
+)
+def j_title_index(spark, sf_dir):
+    """Titles of pages, two of them shared, and redirects to the next title."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    name = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+    asked = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, name("Title ", c % 60)).when(k % 3 == 1, name("other, ", c % 60)).otherwise(name("nobody ", c)).alias("title"))
+    p = table(spark, sf_dir, "pages").select("page_id")
+    titles = p.where("page_id < 52").select(name("Title: ", F.col("page_id") % 50).alias("title"), F.col("page_id").alias("doc_id"))
+    return L.bound_titles(asked, titles, p.select(name("Other ", F.col("page_id") % 60).alias("title"), name("TITLE ", F.col("page_id") % 60 + 1).alias("target")))
+
+
+@query(
+    f"WITH {CHUNKS}, e AS (SELECT *, lead(content) OVER w AS c1, lead(content, 2) OVER w AS c2, lead(content, 3) OVER w AS c3 FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)), "
+    "q AS (SELECT doc_id AS quote_id, doc_id, CASE WHEN doc_id % 4 = 3 THEN 'nowhere to be found' WHEN doc_id % 4 = 2 THEN left(content, 1) WHEN c1 IS NOT NULL THEN right(content, 30) || left(c1, 30) ELSE substr(content, 2, 40) END AS quote FROM e WHERE ordinal = 0), "
+    "s AS (SELECT doc_id, chunk_id, 1 AS n, content AS text FROM e UNION ALL SELECT doc_id, chunk_id, 2, content || c1 FROM e WHERE c1 IS NOT NULL UNION ALL SELECT doc_id, chunk_id, 3, content || c1 || c2 FROM e WHERE c2 IS NOT NULL UNION ALL SELECT doc_id, chunk_id, 4, content || c1 || c2 || c3 FROM e WHERE c3 IS NOT NULL), "
+    "h AS (SELECT quote_id, chunk_id, n FROM q JOIN s USING (doc_id) WHERE contains(text, quote)), g AS (SELECT quote_id, n, count(*) AS matches, min(chunk_id) AS chunk_id FROM h WHERE (quote_id, n) IN (SELECT quote_id, min(n) FROM h GROUP BY quote_id) GROUP BY quote_id, n) "
+    "SELECT quote_id, CASE WHEN matches = 1 THEN chunk_id END AS first_chunk, CASE WHEN matches = 1 THEN n END AS n_chunks, coalesce(matches, 0) AS matches FROM q LEFT JOIN g USING (quote_id)"
+)
+def j_quote_spans(spark, sf_dir):
+    """Of each document a quote across its first two chunks, or inside the first; every fourth has a letter, every fourth nothing that stands there."""
+    c = chunks(spark, sf_dir)
+    d = F.col("doc_id")
+    e = c.withColumn("c1", F.lead("content").over(Window.partitionBy("doc_id").orderBy("ordinal"))).where("ordinal = 0")
+    over = F.concat(F.right("content", F.lit(30)), F.left("c1", F.lit(30)))
+    quote = F.when(d % 4 == 3, "nowhere to be found").when(d % 4 == 2, F.left("content", F.lit(1))).when(F.col("c1").isNotNull(), over).otherwise(F.substring("content", 2, 40))
+    return L.bound_quotes(e.select(d.alias("quote_id"), "doc_id", quote.alias("quote")), c)
