@@ -13,15 +13,15 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(chunks: DataFrame, terms: DataFrame, fields: list[str]) -> DataFrame:
-    """chunks(chunk_id, fields), terms(term) -> chunk_id, field, length, term, tf: only of the terms asked for.
+def postings(chunks: DataFrame, terms: DataFrame | None = None, fields: tuple[str, ...] = ("content",)) -> DataFrame:
+    """chunks(chunk_id, fields), terms(term) -> chunk_id, field, length, term, tf: only of the terms asked for, or all.
 
     Tokens of other terms go before the exchange where the terms are few. All postings of a chunk lie together.
     """
     own = F.array(*(F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("t")) for f in fields))
     t = chunks.select("chunk_id", F.explode(own).alias("x")).select("chunk_id", "x.field", F.size("x.t").alias("length"), F.explode("x.t").alias("term"))
-    hits = t.join(terms, "term", "left_semi").repartition("chunk_id")
-    return hits.groupBy("chunk_id", "field", "length", "term").agg(F.count("*").alias("tf"))
+    hits = t if terms is None else t.join(terms, "term", "left_semi")
+    return hits.repartition("chunk_id").groupBy("chunk_id", "field", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def ranked(scored: DataFrame, score: str, tie: list[str], by: list[str], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -39,7 +39,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     """
     fields = fields or {"content": 1.0}
     terms = queries.select("query_id", F.explode(T.distinct_tokens(F.col("text"))).alias("term"))
-    hits = postings(chunks, small(terms.select("term").distinct()), list(fields))
+    hits = postings(chunks, small(terms.select("term").distinct()), tuple(fields))
     sizes = chunks.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), T.token_total(F.col(f)).alias("n")) for f in fields))).alias("x")).select("x.*")
     sizes = sizes.where("n is not null").groupBy("field").agg(F.count("*").alias("docs"), F.avg("n").alias("average"))  # one row a field
     frequency = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
