@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, to be broadcast where it has at most so many rows; beyond that Spark joins by exchanges."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def few(df: DataFrame, rows: int = 500_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, bound: DataFrame | None = None, rows: int = 500_000) -> DataFrame:
+    """df, to be broadcast where it has at most so many rows; beyond that Spark joins by exchanges. bound: a cheaper table with as many rows at least."""
+    return F.broadcast(df) if few(df if bound is None else bound, rows) else df
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None, fields: tuple[str, ...] = ("content",)) -> DataFrame:
@@ -47,7 +51,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = terms.join(frequency, "term").join(F.broadcast(sizes), "field").select("query_id", "field", "term", idf.alias("idf"), "average", boost.alias("boost"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scored = hits.join(small(asked), ["field", "term"]).groupBy("query_id", "chunk_id", "field", "boost").agg(F.sum(part).alias("part"))
+    scored = hits.join(small(asked, terms, 500_000 // len(fields)), ["field", "term"]).groupBy("query_id", "chunk_id", "field", "boost").agg(F.sum(part).alias("part"))
     best = scored.groupBy("query_id", "chunk_id").agg(F.round(F.max(F.col("boost") * F.col("part")), 6).alias("score"))
     return ranked(best, "score", ["chunk_id"], ["query_id"], k)
 

@@ -150,7 +150,7 @@ def containments(docs: DataFrame, passages: DataFrame) -> DataFrame:
     df = seen.groupBy("word").agg(F.count("*").alias("df"))
     rare = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))["word"]
     keys = inner.join(df, "word", "left").groupBy("query_id", "passage").agg(rare.alias("word"))
-    near = docs.select("doc_id", "text", F.explode(F.array_distinct(w)).alias("word")).join(small(keys), "word")
+    near = docs.select("doc_id", "text", F.explode(F.array_distinct(w)).alias("word")).join(small(keys, inner), "word")
     found = near.where(F.contains("text", "passage")).select("query_id", "doc_id")
     short = p.where(F.size("w") < 3).select("query_id", "passage")
     if not short.isEmpty():
