@@ -13,13 +13,13 @@ that is to be removed is compared with its earlier place word by word.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,15 +155,17 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for part in slices(batch, "data"):
-            yield part, [zlib.decompress(x) if x else b"" for x in part.column("data").to_pylist()]
+            yield part, [unpack(x) if x else b"" for x in part.column("data").to_pylist()]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for part in slices(batch):
-            data = [zlib.compress(t, 1) if t else None for t in texts_of(part)]
+            data = [pack(t) if t else None for t in texts_of(part)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(data, pa.binary())], ["id", "tie", "data"])
 
 

@@ -157,7 +157,7 @@ def test_different_passages_of_one_name_are_an_error(spark, monkeypatch):
     texts = [(1, 0, " ".join(f"w{k}" for k in range(60))), (2, 0, " ".join(f"w{k}" for k in range(60)))]
 
     def packed(rows):
-        return spark.createDataFrame([(i, t, substrings.zlib.compress(x.encode(), 1)) for i, t, x in rows], "id long, tie long, data binary")
+        return spark.createDataFrame([(i, t, substrings.zstandard.compress(x.encode(), 1)) for i, t, x in rows], "id long, tie long, data binary")
 
     substrings._verify(packed(texts), later, 20)
     texts[1] = (2, 0, texts[1][2].replace("w10 ", "v10 "))
