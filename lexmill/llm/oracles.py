@@ -135,3 +135,68 @@ best as (select * from stretch qualify row_number() over (partition by doc_id, t
 select distinct doc_id, item_id, low + shift as doc_at, high - low as overlap_words, same as same_words, n as item_words
 from best join benchmark on benchmark.text = best.item
 """
+
+INFILL = r"""
+with d as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+        sha256('42:' || coalesce(doc_id::varchar, 'null')) as d
+    from documents
+),
+h as (
+    select *, len(u) as n, ('0x' || d[1:8])::ubigint::bigint as h1, ('0x' || d[9:16])::ubigint::bigint as h2,
+        ('0x' || d[17:24])::ubigint::bigint as h3, ('0x' || d[25:32])::ubigint::bigint as h4
+    from d
+),
+f as (
+    select *, case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain'
+        when h4 % 100 < 80 then 'spm' else 'psm' end as form, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high
+    from h
+),
+p as (
+    select *, array_to_string(u[1:low], '') as prefix, array_to_string(u[low + 1 : high], '') as middle, array_to_string(u[high + 1 :], '') as suffix from f
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+#: CRC-32 by its table, over the UTF-8 bytes of letters up to U+00FF.
+SPELLING = r"""
+with recursive t as (
+    select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as crc
+),
+r as (select coalesce(doc_id::varchar, 'null') as id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+l as (select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from r where length(run) >= 6 group by all),
+b as (
+    select run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: case when ord(c) < 128 then [ord(c)] else [192 + ord(c) // 64, 128 + ord(c) % 64] end)) as bytes
+    from l
+),
+h as (
+    select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(bytes, lambda x: x::bigint)),
+        lambda c, x: xor(c // 256, t.crc[(xor(c, x) % 256) + 1]))) as h
+    from b, t
+),
+w as (
+    select case when h % 199 = 0 then run[1 : h % length(run)] || run[h % length(run) + 2 :] else run end as word, sum(n)::bigint as n from h group by 1
+),
+v as (select word, n from w where length(word) >= 6 and n >= 5),
+x as (select word, n, i, word[1 : i - 1] || word[i + 1 :] as rest from (select *, unnest(generate_series(1, length(word))) as i from v)),
+pair as (
+    select a.word as a, b.word as b, b.n from x a join x b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select x.word, v.word, v.n from x join v on v.word = x.rest
+    union select v.word, x.word, x.n from x join v on v.word = x.rest
+),
+best as (select a as word, count(*) as n_near, max(n) as most, arg_max(b, {'n': n, 'b': -rank}) as near from (select *, rank() over (order by b) as rank from pair) group by a),
+f as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 5 * n then near end as form, case when most >= 5 * n then most end as form_n
+    from v left join best using (word)
+),
+chain as (
+    select word, form as at from f where form is not null
+    union all
+    select c.word, f.form from chain c join f on f.word = c.at where f.form is not null
+),
+root as (select c.word, c.at as root from chain c join f on f.word = c.at where f.form is null)
+select word, form, coalesce(root, word) as root, n, n_near, form_n from f left join root using (word)
+"""

@@ -70,6 +70,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .anomalies import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill_digests
+
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_entropy_mixing": op2_entropy_mixing,
@@ -81,13 +99,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_owners": op8_secret_owners,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_quality_forest": op11_quality_forest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-#: The others: their results hang on a generator (4), an iteration (2), a trained model (10), a tokenizer (7) or spectra (6).
+#: The others: their results hang on a generator (4), an iteration (2), a trained model (10, 11), a tokenizer (7) or spectra (6).
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": oracles.NEAR_DEDUP,
     "op3_line_dedup": oracles.LINE_DEDUP,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_secret_owners": oracles.SECRET_OWNERS,
     "op9_decontamination": oracles.DECONTAMINATION,
+    "op12_fill_in_middle": oracles.INFILL,
+    "op13_spelling_variants": oracles.SPELLING,
 }
