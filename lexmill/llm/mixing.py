@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, row_columns, with_row
 
 
+#: Parts of a (source, size) cell.
+_SALTS = 256
+
+
 def _key():
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
@@ -70,57 +74,92 @@ def balance(size: np.ndarray, n: np.ndarray, target: float, cap: float, toleranc
     return lam, mean
 
 
-def _allot(cells: pd.DataFrame) -> pd.DataFrame:
-    """Rates and whole copies for the (size, n) cells of one source. The group holds one row a distinct size, not the documents."""
-    c = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
-    size, n, cap = c["size"].to_numpy(np.int64), c["n"].to_numpy(np.int64), int(c["cap"].iloc[0])
-    lam, mean = balance(size, n, float(c["target"].iloc[0]), float(cap))
-    rate = np.minimum(float(cap), np.exp(np.minimum(lam * size / mean, 700.0)))
-    base = np.floor(rate + 1e-9).astype(np.int64)
-    due = np.floor(np.cumsum(n * np.clip(rate - base, 0, 1)) + 0.5).astype(np.int64)
-    extra = np.clip(np.diff(np.r_[0, due]), 0, n)
-    left = int(round(c["target"].iloc[0])) - int(np.sum(size * (base * n + extra)))
-    room = np.where(base >= cap, 0, n - extra) if left > 0 else extra
-    sign = 1 if left > 0 else -1
-    for k in np.flatnonzero((room > 0) & (size > 0)):  # from the largest size down: give or take what still fits
-        take = min(int(room[k]), abs(left) // int(size[k]))
-        extra[k] += sign * take
-        left -= sign * take * int(size[k])
-    for _ in range(8):  # then swap a copy of one size for a copy of another where that comes nearer
-        give, take = np.flatnonzero(extra > 0), np.flatnonzero((extra < n) & (base < cap) & (size > 0))
-        if not left or not len(give) or not len(take):
+def whole_copies(size: np.ndarray, n: np.ndarray, target: float, cap: int, lump: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
+    """(rate, copies of all n documents) of one source's cells, sizes falling: rates as the dual has them, and copies between 0 and cap * n near the target.
+
+    Fractions of copies are carried on to the next size. Where sizes are so large or few that this leaves a mass of more than ``lump`` of what
+    is still to be taken, the dual is solved again for the smaller sizes and the rest of the target, so that they make up for it together.
+    """
+    rate, copies = None, np.zeros(len(size), dtype=np.int64)
+    mass, at, taken = size * n, 0, 0
+    while at < len(size):
+        rest = max(0.0, target - taken)
+        lam, mean = balance(size[at:], n[at:], rest, float(cap))
+        own = np.minimum(float(cap), np.exp(np.minimum(lam * size[at:] / mean, 700.0))) if rest > 0 else (size[at:] == 0).astype(float)
+        rate = own if rate is None else rate
+        due = np.floor(np.cumsum(n[at:] * own) + 0.5).astype(np.int64)
+        copies[at:] = np.clip(np.diff(np.r_[0, due]), 0, n[at:] * cap)
+        wanted, given = np.cumsum(mass[at:] * own), np.cumsum(size[at:] * copies[at:])
+        far = np.flatnonzero(np.abs(wanted - given) > lump * max(rest, 1.0))
+        if not len(far):
             break
-        up = size[take][::-1]
-        at = np.searchsorted(up, size[give] + left)
-        near = np.stack([np.clip(at - 1, 0, len(up) - 1), np.clip(at, 0, len(up) - 1)])
-        miss = np.abs(left - (up[near] - size[give]))
+        k = at + int(far[0])
+        rest = target - float(np.sum(size[:k] * copies[:k]))
+        least, most = rest - cap * float(mass[k + 1 :].sum()), rest  # what this size must leave to the smaller ones, and may take
+        low, high = math.ceil(least / size[k]), math.floor(most / size[k])
+        if low > high and low * size[k] - most > least - high * size[k]:  # one of both is missed: the nearer
+            low = high
+        copies[k] = np.clip(np.clip(copies[k], low, max(low, high)), 0, n[k] * cap)
+        at = k + 1
+        taken = int(np.sum(size[:at] * copies[:at]))
+    return rate, copies
+
+
+def _repaired(size: np.ndarray, n: np.ndarray, copies: np.ndarray, target: int, cap: int) -> np.ndarray:
+    """Copies moved so that what misses the target is less than any copy that could still be given or taken: from the largest size that fits down, then swaps."""
+    copies, some = copies.copy(), size > 0
+    left = target - int(np.sum(size * copies))
+    for k in np.flatnonzero(some):
+        room = n[k] * cap - copies[k] if left > 0 else copies[k]
+        take = min(int(room), abs(left) // int(size[k])) * (1 if left > 0 else -1)
+        copies[k] += take
+        left -= take * int(size[k])
+    for _ in range(32):  # one copy more or less, or one for another
+        give, take = np.flatnonzero(some & (copies > 0)), np.flatnonzero(some & (copies < n * cap))
+        if not left or not len(take) and not len(give):
+            break
+        gone, more = np.r_[0, size[give]], np.r_[0, size[take][::-1]]
+        near = np.searchsorted(more, gone + left)
+        near = np.stack([np.clip(near - 1, 0, len(more) - 1), np.clip(near, 0, len(more) - 1)])
+        miss = np.abs(left - (more[near] - gone))
         best = np.unravel_index(np.argmin(miss), miss.shape)
         if miss[best] >= abs(left):
             break
-        i, j = give[best[1]], take[::-1][near[best]]
-        extra[i] -= 1
-        extra[j] += 1
-        left -= int(size[j] - size[i])
-    return pd.DataFrame({"key": c["key"], "size": size, "base": base, "extra": extra, "rate": rate, "total": c["total"], "target": c["target"]})
+        i, j = best[1] - 1, near[best] - 1
+        if i >= 0:
+            copies[give[i]] -= 1
+        if j >= 0:
+            copies[take[::-1][j]] += 1
+        left -= int(more[near[best]] - gone[best[1]])
+    return copies
+
+
+def _allot(cells: pd.DataFrame) -> pd.DataFrame:
+    """Rates and whole copies for the (size, n) cells of one source. The group holds one row a distinct size, not the documents."""
+    c = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
+    size, n, cap, target = c["size"].to_numpy(np.int64), c["n"].to_numpy(np.int64), int(c["cap"].iloc[0]), float(c["target"].iloc[0])
+    rate, copies = whole_copies(size, n, target, cap)
+    copies = _repaired(size, n, copies, int(round(target)), cap)
+    return pd.DataFrame({"key": c["key"], "size": size, "base": copies // n, "extra": copies % n, "rate": rate, "total": c["total"], "target": c["target"]})
 
 
 def mixed(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """docs(doc_id, text, source, ...) -> row (docs' columns as a struct), size, source_size, target, rate, copies: one row per document.
 
     Sizes are words. A source's copies add up to its target but for less than its smallest sizes. Which documents of equal source
-    and size get one copy more is decided by a seeded hash of doc_id; reruns agree. Null text: size 0. Null source: a source
+    and size get one copy more is decided by a seeded hash of doc_id and text; reruns agree. Null text: size 0. Null source: a source
     of its own. Repeated rows count as documents. Empty table: no rows.
 
-    Hot sources and sizes: documents are counted by (source, size, salt) before anything else, and ranked within a salt only.
+    Hot sources and sizes: documents are counted by (source, size, salt) before anything else, and ranked within one of 256 salts only. Rows with
+    one doc_id part by their texts; rows that are equal in both meet in one salt, but carry no text there.
     """
-    salts = max(16, docs.count() // 2_000_000)
     sized = with_row(
         docs,
         F.col("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _key().alias("key"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(salts)).alias("salt"),
-    )
+        F.xxhash64("doc_id", "text", F.lit(seed + 1)).alias("order"),
+    ).withColumn("salt", F.pmod("order", F.lit(_SALTS)))
     counts = materialize(sized.groupBy("key", "size", "salt").agg(F.count("*").alias("n")), "counts")
     cells = counts.groupBy("key", "size").agg(F.sum("n").alias("n"))
     sources = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("docs"))
@@ -134,7 +173,7 @@ def mixed(docs: DataFrame, cap: int = 3, cycle: tuple[int, ...] = (1, 2, 3), see
     shares = counts.join(allotted, ["key", "size"]).withColumns({"sum": F.sum("n").over(run), "all": F.sum("n").over(whole)})
     shares = shares.withColumn("extra", F.expr("extra * sum div all - extra * (sum - n) div all"))
     shares = shares.select("key", "size", "salt", "base", "extra", F.col("total").alias("source_size"), "target", "rate")
-    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("order", "doc_id"))
     dealt = sized.join(shares, ["key", "size", "salt"])
     return dealt.select("row", "doc_id", "size", "source_size", "target", "rate", (F.col("base") + (rank <= F.col("extra")).cast("long")).alias("copies"))
 

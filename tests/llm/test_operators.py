@@ -232,6 +232,45 @@ def test_newton_balances_any_cells():
         assert float(np.sum(size * n * np.minimum(3.0, np.exp(np.minimum(lam * size / mean, 700))))) == pytest.approx(target, rel=1e-5)
 
 
+def reachable(size, n, cap, most):
+    sums = {0}
+    for s, k in zip(size, n):
+        sums = {x + s * c for x in sums for c in range(k * cap + 1) if x + s * c <= most}
+    return sums
+
+
+def test_mixing_meets_targets_where_sizes_are_skewed():
+    """The sum of copies is as near the target as any copies under the cap are, or within one smallest size or 1 % of it."""
+    rng = np.random.default_rng(3)
+    cases = [([9000, 40], [1, 92], 6432), ([100000, 10], [1, 1000], 30000), ([100000, 500], [1, 40], 55000)]
+    for k in range(60):
+        size, n = np.unique(np.maximum(1, rng.lognormal(3, 1.2, rng.integers(1, 25))).astype(int), return_counts=True)
+        if k % 2:
+            size, n = np.r_[size, int(np.sum(size * n)) + 7], np.r_[n, 1]
+        cases.append((size[::-1].tolist(), n[::-1].tolist(), float(rng.uniform(0.01, 3) * np.sum(size * n))))
+    for size, n, target in cases:
+        size, n = np.array(size), np.array(n)
+        rate, copies = mixing.whole_copies(size, n, target, 3)
+        copies = mixing._repaired(size, n, copies, round(target), 3)
+        assert (copies >= 0).all() and (copies <= 3 * n).all() and len(rate) == len(size)
+        miss = abs(int(np.sum(size * copies)) - round(target))
+        if miss > size.min():
+            best = min(abs(x - round(target)) for x in reachable(size.tolist(), n.tolist(), 3, round(target) + int(size.max())))
+            assert miss <= best + max(size.min(), 0.01 * target)
+
+
+def test_mixing_a_source_that_one_document_dominates(spark):
+    rows = [(0, "w " * 9000, None, "a", None), *((i, "w " * 40, None, "a", None) for i in range(1, 93)), *((i, "w " * 30, None, "b", None) for i in range(100, 200))]
+    found = mixing.mix_plan(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        source = "a" if r["doc_id"] < 93 else "b"
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+
+
 def test_mixing_odd_rows(odd):
     rows = mixing.mix_plan(odd).collect()
     assert len(rows) == len(ODD) and {r["size"] for r in rows if r["doc_id"] in (1, 2, 5)} == {0}
