@@ -330,7 +330,8 @@ def _kept_rows(window: int):
                             raise ValueError("two different passages share a name")
                 kept.append(b" ".join(compress(words, ~gone[f : f + n]) if removed[k] else words))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(w.size), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"]
+                [part.column("id"), part.column("tie"), pa.array(w.size), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())],
+                ["id", "tie", "n_words", "n_removed", "kept"],
             )
 
     return run
@@ -345,10 +346,24 @@ def keyed(docs: DataFrame, rows: bool = False) -> DataFrame:
     d = d if rows else d.drop("row")
     again = d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if again.isEmpty():
-        return d.withColumn("tie", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long"))
+        found = d.withColumn("tie", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long"))
+        found.ids_repeat = False
+        return found
     again = again.withColumn("again", F.lit(True))
     tie = F.when(F.col("again"), F.coalesce(F.conv(F.substring(F.md5(F.col("text")), 1, 16), 16, -10).cast("long"), F.lit(-1))).otherwise(0)
-    return d.join(again, "id", "left").withColumn("tie", tie.cast("long")).drop("again")
+    found = d.join(again, "id", "left").withColumn("tie", tie.cast("long")).drop("again")
+    found.ids_repeat = True
+    return found
+
+
+def folded(d: DataFrame) -> DataFrame:
+    """keyed documents -> text, id, tie: one row for each (id, tie), that is for rows of one doc_id and one text. Only texts whose doc_id others have too
+    are shuffled, one a task and (id, tie)."""
+    slim = d.select("text", "id", "tie")
+    if not d.ids_repeat:
+        return slim
+    repeated = slim.where("tie != 0").groupBy("id", "tie").agg(F.any_value("text").alias("text"))
+    return slim.where("tie = 0").unionByName(repeated)
 
 
 def copies(d: DataFrame) -> DataFrame:
@@ -406,8 +421,9 @@ def repeats(packed: DataFrame, copied: DataFrame, window: int, levels) -> DataFr
 
 def _judged(d: DataFrame, window: int, levels) -> tuple[DataFrame, DataFrame, DataFrame]:
     """keyed documents -> the packed texts; id, tie and starts of windows to remove; id and tie of copies."""
-    packed = d.select("text", "id", "tie").mapInArrow(_packed, "id long, tie long, data binary")
-    copied = materialize(copies(d), "copies")
+    one = folded(d)
+    packed = one.mapInArrow(_packed, "id long, tie long, data binary")
+    copied = materialize(copies(one), "copies")
     later = repeats(packed, copied, window, levels)
     _verify(packed, later, window)
     return packed, by_document(later.select("id", "tie", "at"), "at", "starts"), copied
@@ -423,14 +439,18 @@ def dedup_substrings(docs: DataFrame, window: int = 20, levels=LEVELS) -> DataFr
 
     Results are exact: symbols only rule out, and words decide. If two different passages ever shared a 96-bit name, the job would fail.
 
-    A copy of a whole text is settled by its text's key and emits nothing. Each Spark round is a job of its own that writes its result and
+    Rows of one doc_id and one text fold to one before anything else, and are joined back in the end. A copy of a whole text is settled by its text's key and
+    emits nothing. Each Spark round is a job of its own that writes its result and
     drops its shuffle files: the packed texts, and one symbol for about seven words; then the windows left, and the pieces to
     compare, in blocks of the earlier document, so that a passage of many copies is compared once. Counts and least places are
     pre-aggregated; the joins back are plain equi-joins, which adaptive execution splits where one symbol or window is hot.
     """
-    packed, starts, copied = _judged(keyed(docs), window, levels)
-    told = packed.join(starts.hint("merge"), ["id", "tie"], "left").join(copied, ["id", "tie"], "left").select("data", "id", "starts", "copy")
-    kept = told.mapInArrow(_kept_rows(window), "id long, n_words long, n_removed long, kept string")
+    d = keyed(docs)
+    packed, starts, copied = _judged(d, window, levels)
+    told = packed.join(starts.hint("merge"), ["id", "tie"], "left").join(copied, ["id", "tie"], "left").select("data", "id", "tie", "starts", "copy")
+    kept = told.mapInArrow(_kept_rows(window), "id long, tie long, n_words long, n_removed long, kept string")
+    if d.ids_repeat:
+        kept = d.select("id", "tie").join(materialize(kept, "kept"), ["id", "tie"])
     return kept.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
