@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,27 @@ from .common import materialize, mix, release, row_columns, slices, texts_of, wo
 from .substrings import keyed
 
 _U = np.uint64
-_R = 0x9E3779B97F4A7C15 | 1
-_Q = pow(_R, -1, 1 << 64)
 _C = _U(0xD6E8FEB86659FD93)
+#: Two primes under 2 ** 31, and what a word's hash is multiplied by for each word before it. Unlike powers of two, primes have no sequences of words
+#: that share their sums whatever the words are.
+_PRIMES = np.array([[2147483647], [2147483629]], dtype=_U)
+_BASES = (1481765933, 1085377743)
+_INVERSE = tuple(pow(b, -1, int(p)) for b, p in zip(_BASES, _PRIMES[:, 0]))
+#: Variants that a task makes at a time.
+_SLICE = 1 << 16
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    steps = np.full(n + 1, base, dtype=_U)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
+def _powers(n: int, bases: tuple[int, int]) -> np.ndarray:
+    """The powers 0 to n of both bases, by doubling."""
+    found = np.ones((2, 1), dtype=_U)
+    while found.shape[1] <= n:
+        step = np.array([[pow(b, found.shape[1], int(p))] for b, p in zip(bases, _PRIMES[:, 0])], dtype=_U)
+        found = np.hstack([found, found * step % _PRIMES])
+    return found[:, : n + 1]
+
+
+def _named(sums: np.ndarray, salt) -> np.ndarray:
+    return mix(((sums[0] << _U(31)) | sums[1]) * _C + salt)
 
 
 class Lines:
@@ -47,13 +59,18 @@ class Lines:
         self.first = np.cumsum(self.n) - self.n
         self.index = np.arange(len(h)) - self.first[self.owner]
         most = int(self.n.max()) if len(self.n) else 0
-        self.q = _powers(most + 1, _Q)
-        self.sums = np.r_[_U(0), np.cumsum((h | _U(1)) * _powers(most + 1, _R)[self.index])]
+        self.q = _powers(most + 1, _INVERSE)
+        weighed = (h % _PRIMES) * _powers(most + 1, _BASES)[:, self.index] % _PRIMES
+        self.sums = np.hstack([np.zeros((2, 1), _U), np.cumsum(weighed, axis=1)])  # of 31 bits each, so that a batch's words don't overflow
+
+    def _moved(self, low: np.ndarray, high: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Sums of words low to high, as if they stood so many words further to the front of their line."""
+        return (self.sums[:, high] - self.sums[:, low]) % _PRIMES * self.q[:, back] % _PRIMES
 
     def part(self, line: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Sums of words low to high of lines, as if the part began a line."""
         f = self.first[line]
-        return (self.sums[f + high] - self.sums[f + low]) * self.q[low]
+        return self._moved(f + low, f + high, low)
 
     def names(self, which: np.ndarray) -> list[bytes]:
         """128 bits that stand for the words of lines."""
@@ -61,7 +78,7 @@ class Lines:
 
     def _keys(self, line: np.ndarray, parts) -> tuple[np.ndarray, np.ndarray]:
         """(line, key) of parts (which lines, low, high, salt) of lines, each key of a line once."""
-        found = [(line[ok], mix(self.part(line[ok], low[ok], high[ok]) * _C + salt[ok])) for ok, low, high, salt in parts]
+        found = [(line[ok], _named(self.part(line[ok], low[ok], high[ok]), salt[ok])) for ok, low, high, salt in parts]
         lines, keys = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((keys, lines))
         lines, keys = lines[order], keys[order]
@@ -91,37 +108,26 @@ class Lines:
                     parts.append((ok, np.maximum(a, 0), np.minimum(b, n), (size.astype(_U) * _U(64) + _U(k)) * _U(0xA0761D6478BD642F)))
         return self._keys(line, parts)
 
-    def variants(self, edits: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """(line, gaps, key): each line without up to ``edits`` of its words; gaps: for each deleted word how many kept ones stand before it."""
+    def variants(self, edits: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+        """(line, gaps, key), some at a time: each line without up to ``edits`` of its words; gaps: for each deleted word how many kept ones stand before it."""
         every = np.arange(len(self.n))
-        zero = np.zeros_like(self.n)
-        lines, gaps = [every], [b""] * len(every)
-        keys = [mix(self.part(every, zero, self.n) * _C + self.n.astype(_U))]
-        # one deleted word, for all lines at once
-        if edits:
-            line, i, n = self.owner, self.index, self.n[self.owner]
-            rest = self.part(line, np.zeros_like(i), i) + (self.sums[self.first[line] + n] - self.sums[self.first[line] + i + 1]) * _U(_Q)
-            lines.append(line)
-            gaps += [b"%d" % k for k in i.tolist()]
-            keys.append(mix(rest * _C + (n - 1).astype(_U)))
+        yield every, [b""] * len(every), _named(self.part(every, np.zeros_like(self.n), self.n), self.n.astype(_U))
+        for at in range(0, len(self.owner) if edits else 0, _SLICE):  # one deleted word, for all lines at once
+            line, i = self.owner[at : at + _SLICE], self.index[at : at + _SLICE]
+            n, f = self.n[line], self.first[line]
+            rest = (self.part(line, np.zeros_like(i), i) + self._moved(f + i + 1, f + n, np.ones_like(i))) % _PRIMES
+            yield line, [b"%d" % k for k in i.tolist()], _named(rest, (n - 1).astype(_U))
         for count in range(2, edits + 1):
-            for k in np.flatnonzero(self.n).tolist():
-                n = int(self.n[k])
-                picks = list(combinations(range(n), count)) if count <= n else []
-                if not picks:
-                    continue
-                gone = np.array(picks)
-                total = np.zeros(len(picks), dtype=_U)
-                edges = np.hstack([np.full((len(picks), 1), -1), gone, np.full((len(picks), 1), n)])
-                own = np.full(len(picks), k)
-                for j in range(count + 1):  # the part between two deleted words, moved up by the words deleted before
-                    low, high = edges[:, j] + 1, edges[:, j + 1]
-                    f = self.first[own]
-                    total += (self.sums[f + high] - self.sums[f + low]) * self.q[j]
-                lines.append(own)
-                gaps += [b",".join(b"%d" % (g - j) for j, g in enumerate(pick)) for pick in picks]
-                keys.append(mix(total * _C + _U(n - count)))
-        return np.concatenate(lines), gaps, np.concatenate(keys)
+            for k in np.flatnonzero(self.n >= count).tolist():
+                n, f = int(self.n[k]), int(self.first[k])
+                picks = combinations(range(n), count)
+                while chosen := list(islice(picks, _SLICE)):
+                    edges = np.hstack([np.full((len(chosen), 1), -1), np.array(chosen), np.full((len(chosen), 1), n)])
+                    total = np.zeros((2, len(chosen)), dtype=_U)
+                    for j in range(count + 1):  # the part between two deleted words, moved up by the words deleted before
+                        total = (total + self._moved(f + edges[:, j] + 1, f + edges[:, j + 1], np.full(len(chosen), j))) % _PRIMES
+                    gaps = [b",".join(b"%d" % (g - j) for j, g in enumerate(pick)) for pick in chosen]
+                    yield np.full(len(chosen), k), gaps, _named(total, _U(n - count))
 
 
 def edits_between(a: bytes, b: bytes) -> int:
@@ -190,16 +196,30 @@ def _pick_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["line", "id", "tie", "at", "text"])
 
 
-def _variant_rows(edits: int):
+def _exact_variants(texts: list[bytes], edits: int) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
+    """As ``Lines.variants``, named by 128 bits of the words that are left."""
+    for k, text in enumerate(texts):
+        words = text.split()
+        for count in range(min(edits, len(words)) + 1):
+            picks = combinations(range(len(words)), count)
+            while chosen := list(islice(picks, _SLICE)):
+                left = [b" ".join(w for i, w in enumerate(words) if i not in pick) for pick in chosen]
+                gaps = [b",".join(b"%d" % (g - j) for j, g in enumerate(pick)) for pick in chosen]
+                yield np.full(len(chosen), k), gaps, [hashlib.blake2b(b"%d:" % (len(words) - count) + x, digest_size=16).digest() for x in left]
+
+
+def _variant_rows(edits: int, bits: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                owner, gaps, key = Lines(texts_of(part)).variants(edits)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(gaps, pa.binary()), *(part.column(c).take(take) for c in ("line", "id", "tie", "at"))],
-                    ["key", "gaps", "line", "id", "tie", "at"],
-                )
+                texts = texts_of(part)
+                for owner, gaps, key in _exact_variants(texts, edits) if exact else Lines(texts).variants(edits):
+                    take = pa.array(owner)
+                    names = pa.array(key, pa.binary()) if exact else pa.array((key >> _U(64 - bits)).view(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [names, pa.array(gaps, pa.binary()), *(part.column(c).take(take) for c in ("line", "id", "tie", "at"))],
+                        ["key", "gaps", "line", "id", "tie", "at"],
+                    )
 
     return run
 
@@ -209,7 +229,7 @@ def _verified(edits: int):
         for batch in batches:
             for part in slices(batch, "text_a"):
                 ok = [within_edits(a.split(), b.split(), edits) for a, b in zip(texts_of(part, "text_a"), texts_of(part, "text_b"))]
-                yield part.select(["line", "first"]).filter(pa.array(ok, pa.bool_()))
+                yield part.select(["line", "first"]).append_column("ok", pa.array(ok, pa.bool_()))
 
     return run
 
@@ -240,7 +260,19 @@ def _met(variants: DataFrame, edits: int) -> DataFrame:
     return variants.join(near, ["key", "gaps"]).where(place > F.col("there")).select("line", F.col("there").alias("first")).distinct()
 
 
-def removed_lines(d: DataFrame, edits: int, least_words: int) -> DataFrame:
+def _variants(picked: DataFrame, edits: int, bits: int, exact: bool = False) -> DataFrame:
+    return picked.mapInArrow(_variant_rows(edits, bits, exact), f"key {'binary' if exact else 'long'}, gaps binary, line binary, id long, tie long, at int")
+
+
+def _compared(picked: DataFrame, edits: int, bits: int, exact: bool = False) -> DataFrame:
+    """picked(line, id, tie, at, text) -> line, first, ok: lines that met by a variant, and whether their words are near."""
+    pairs = _met(_variants(picked, edits, bits, exact), edits)
+    text = picked.select("line", F.struct("id", "tie", "at").alias("first"), "text")
+    pairs = pairs.join(text.select("line", F.col("text").alias("text_a")), "line").join(text.select("first", F.col("text").alias("text_b")), "first")
+    return pairs.select("line", "first", "text_a", "text_b").mapInArrow(_verified(edits), "line binary, first struct<id: long, tie: long, at: int>, ok boolean")
+
+
+def removed_lines(d: DataFrame, edits: int, least_words: int, bits: int = 62) -> DataFrame:
     """keyed documents -> id, tie, removed (0-based line numbers, ascending), for those that lose a line."""
     rows = d.select("text", "id", "tie").mapInArrow(_line_rows(edits, least_words), "line binary, id long, tie long, at int, pieces array<long>")
     place = F.struct("id", "tie", "at")
@@ -253,21 +285,23 @@ def removed_lines(d: DataFrame, edits: int, least_words: int) -> DataFrame:
     picked = d.join(wanted, ["id", "tie"]).select("text", "id", "tie", "wanted").mapInArrow(_pick_rows, "line binary, id long, tie long, at int, text string")
     picked = materialize(picked.dropDuplicates(["line"]), "picked")
 
-    variants = picked.mapInArrow(_variant_rows(edits), "key long, gaps binary, line binary, id long, tie long, at int")
-    pairs = _met(variants, edits)
-    text = picked.select("line", place.alias("first"), "text")
-    pairs = pairs.join(text.select("line", F.col("text").alias("text_a")), "line").join(text.select("first", F.col("text").alias("text_b")), "first")
-    partner = pairs.select("line", "first", "text_a", "text_b").mapInArrow(_verified(edits), "line binary, first struct<id: long, tie: long, at: int>")
-    partner = partner.groupBy("line").agg(F.min("first").alias("partner"))
+    met = compared = materialize(_compared(picked, edits, bits), "compared")
+    wrong = met.where("not ok").select("line").distinct()
+    if not wrong.isEmpty():  # two variants shared a name, and one may have hidden another: all lines that share a name with such a line, by exact names
+        variants = _variants(picked, edits, bits)
+        keys = variants.join(wrong, "line", "left_semi").select("key").distinct()
+        others = variants.join(keys, "key", "left_semi").select("line").distinct()
+        compared = compared.unionByName(_compared(picked.join(others, "line", "left_semi"), edits, bits, exact=True))
+    partner = compared.where("ok").groupBy("line").agg(F.min("first").alias("partner"))
 
     bounds = lines.select("line", "first").join(partner, "line", "left").select("line", F.least("first", F.coalesce("partner", "first")).alias("bound"))
     judged = rows.select("line", "id", "tie", "at").join(bounds, "line").where(place > F.col("bound"))
     gone = materialize(judged.groupBy("id", "tie").agg(F.sort_array(F.collect_set("at")).alias("removed")), "removed")
-    release(lines, picked)
+    release(lines, picked, met)
     return gone
 
 
-def line_decisions(docs: DataFrame, edits: int = 1, least_words: int = 5) -> DataFrame:
+def line_decisions(docs: DataFrame, edits: int = 1, least_words: int = 5, bits: int = 62) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_lines, n_removed, removed (0-based line numbers, ascending): one row per document.
 
     A line (between line feeds; its words) is removed if an equal or near-equal line stands earlier: in a smaller doc_id (null first),
@@ -277,13 +311,14 @@ def line_decisions(docs: DataFrame, edits: int = 1, least_words: int = 5) -> Dat
 
     Equal lines (by 128 bits of their words) fold into one row first. Only lines with a piece that another line has emit their variants;
     near-equal lines share a piece. A bucket of n lines gives n pairs for each of its gaps, each with the earliest line there: all
-    lines of one variant and one gap are as far apart. So nothing is lost and no group meets in one task.
+    lines of one variant and one gap are as far apart. So nothing is lost and no group meets in one task. Variants have names of ``bits`` bits;
+    where words show that two of them shared one, the lines concerned are done again by 128-bit names.
     """
     d = keyed(docs)
     n_lines = (F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1).cast("long")
     slim = d.select("doc_id", "id", "tie", n_lines.alias("n_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    rows = slim.join(removed_lines(d, edits, least_words), ["id", "tie"], "left")
+    rows = slim.join(removed_lines(d, edits, least_words, bits), ["id", "tie"], "left")
     return rows.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 

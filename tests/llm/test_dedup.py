@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -141,6 +142,18 @@ def test_symbols_rule_out_most_windows():
     assert repeated <= on.alive.sum() < 0.25 * off.alive.sum()
 
 
+def test_substrings_many_equal_rows(spark):
+    """Rows of one doc_id and one text fold to one: what they emit doesn't grow with their number."""
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(400))
+    rows = [(7, text)] * 3000 + [(None, text)] * 500 + [(8, "x " + text + " y"), (9, "alone " * 3), (7, "other text of this id"), (7, None)]
+    found = substrings.dedup_digests(table(spark, rows)).collect()
+    per_id = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in found)
+    assert per_id == {(7, 400, 400): 3000, (None, 400, 0): 500, (8, 402, 400): 1, (9, 3, 0): 1, (7, 5, 0): 1, (7, 0, 0): 1}
+    d = substrings.keyed(table(spark, rows))
+    assert substrings.folded(d).count() == 6
+
+
 def test_substrings_words_that_simple_hashes_confuse(spark):
     order = [0]
     while len(order) < 1024:
@@ -230,6 +243,33 @@ def test_lines_whose_words_simple_hashes_confuse(spark):
     assert lines_of(table(spark, rows)) == {1: (2, []), 2: (2, [0])}
 
 
+def test_lines_of_two_words_in_confusing_order(spark):
+    """Sums of powers modulo 2 ** 64 are equal for such sequences of words and their complements."""
+    order = [0]
+    while len(order) < 1024:
+        order += [1 - x for x in order]
+    a, b = [" ".join("uv"[x ^ y] for x in order) for y in (0, 1)]
+    other = a.split()[:512] + [f"o{k}" for k in range(513)]
+    rows = [(1, f"{a} z1"), (2, f"{b} z2"), (3, f"{b} z3"), (9, " ".join(other))]
+    assert lines_of(table(spark, rows)) == {1: (1, []), 2: (1, []), 3: (1, [0]), 9: (1, [])}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_lines_whose_variants_share_names(spark, edits):
+    """Names of a few bits: wrong partners come before right ones, and the exact names find them again."""
+    rng = random.Random(edits)
+    base = [[rng.choice("abcdefgh") for _ in range(rng.randint(5, 7))] for _ in range(25)]
+    rows = []
+    for i in range(80):
+        line = list(rng.choice(base))
+        if i % 2:
+            line[rng.randrange(len(line))] = rng.choice("abcdefgh")
+        rows.append((i, " ".join(line)))
+    want = {r["doc_id"]: r["removed"] for r in lines.line_decisions(table(spark, rows), edits).collect()}
+    few = {r["doc_id"]: r["removed"] for r in lines.line_decisions(table(spark, rows), edits, bits=5).collect()}
+    assert few == want and any(want.values())
+
+
 def test_lines_fixture(spark):
     df = spark.read.parquet(FIXTURE).where("doc_id < 80")  # brute force compares all pairs of lines
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
