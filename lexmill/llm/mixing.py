@@ -114,26 +114,33 @@ def _repaired(size: np.ndarray, n: np.ndarray, copies: np.ndarray, target: int,
         take = min(int(room), abs(left) // int(size[k])) * (1 if left > 0 else -1)
         copies[k] += take
         left -= take * int(size[k])
-    for _ in range(32):  # one copy more or less, or one for another
-        give, take = np.flatnonzero(some & (copies > 0)), np.flatnonzero(some & (copies < n * cap))
-        if not left or not len(take) and not len(give):
-            break
-        gone, more = np.r_[0, size[give]], np.r_[0, size[take][::-1]]
+    for _ in range(32):  # then up to two copies for up to two others, as long as that comes nearer
+        gone, gone_of = _moves(size, np.where(some, copies, 0))
+        more, more_of = _moves(size, np.where(some, n * cap - copies, 0))
         near = np.searchsorted(more, gone + left)
         near = np.stack([np.clip(near - 1, 0, len(more) - 1), np.clip(near, 0, len(more) - 1)])
         miss = np.abs(left - (more[near] - gone))
         best = np.unravel_index(np.argmin(miss), miss.shape)
         if miss[best] >= abs(left):
             break
-        i, j = best[1] - 1, near[best] - 1
-        if i >= 0:
-            copies[give[i]] -= 1
-        if j >= 0:
-            copies[take[::-1][j]] += 1
+        np.add.at(copies, [k for k in gone_of[best[1]] if k >= 0], -1)
+        np.add.at(copies, [k for k in more_of[near[best]] if k >= 0], 1)
         left -= int(more[near[best]] - gone[best[1]])
     return copies
 
 
+def _moves(size: np.ndarray, room: np.ndarray, most: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of none, one and two copies that there is room for, rising, and their cells (-1: none). Pairs are those of ``most`` cells, spread over all."""
+    one = np.flatnonzero(room > 0)
+    few = one[np.unique(np.linspace(0, len(one) - 1, most).astype(np.int64))] if len(one) else one
+    i, j = (x.ravel() for x in np.meshgrid(few, few))
+    ok = (i < j) | ((i == j) & (room[i] > 1))
+    cells = np.vstack([[(-1, -1)], np.stack([one, np.full(len(one), -1)], axis=1), np.stack([i[ok], j[ok]], axis=1)]).astype(np.int64)
+    sums = np.where(cells >= 0, size[cells], 0).sum(axis=1)
+    order = np.argsort(sums, kind="stable")
+    return sums[order], cells[order]
+
+
 def _allot(cells: pd.DataFrame) -> pd.DataFrame:
     """Rates and whole copies for the (size, n) cells of one source. The group holds one row a distinct size, not the documents."""
     c = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
