@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import inverted
 from lexmill.operators.chunking import word_chunks
-from lexmill.operators.ranking import bm25, knn, small
+from lexmill.operators.ranking import knn, small
+from lexmill.storage import exists, new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,26 +79,37 @@ def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def lexical(spark: SparkSession, sf_dir: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, doc_id, source, content, ordinal, score, rank."""
-    c = chunks(spark, sf_dir)
-    queries = query_table(spark, sf_dir)
-    hits = bm25(c.select("chunk_id", "content"), queries, k, k1, b)
-    few = queries.count() * k <= 500_000  # the top k of all queries, so that only their chunks' texts move
-    return c.select("chunk_id", "doc_id", "source", "content", "ordinal").join(F.broadcast(hits) if few else hits, "chunk_id")
-
-
 FIELDS = {"title": 3.0, "alias": 4.0, "path": 2.0, "content": 1.0}
 
 
 def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with more fields: title (the document's first five words), alias (its source's name), path (language and source)."""
     d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 5), " ").alias("title"), F.col("source").alias("alias"), F.concat_ws(" ", "lang", "source").alias("path")
+        "doc_id", "lang", F.array_join(F.slice(T.words(F.col("text")), 1, 5), " ").alias("title"), F.col("source").alias("alias"), F.concat_ws(" ", "lang", "source").alias("path")
     )
     return chunks(spark, sf_dir).join(d, "doc_id")
 
 
+_indexes: dict[tuple[str, str], tuple[int, inverted.Index]] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """The inverted index of the chunks of documents with all ``FIELDS``: built by the first query that asks for it, read by all later ones of the
+    application, and built anew where the files of documents are others than those it was built from."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    stamp = files.agg(F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes or _indexes[key][0] != stamp or not exists(spark, _indexes[key][1].path):
+        _indexes[key] = stamp, inverted.build(fielded(spark, sf_dir), new_folder(spark, "index"), tuple(FIELDS), "lang")
+    return _indexes[key][1]
+
+
+def lexical(spark: SparkSession, sf_dir: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, doc_id, source, content, ordinal, score, rank."""
+    return inverted.search(corpus_index(spark, sf_dir), query_table(spark, sf_dir), k, k1, b, columns=("doc_id", "source", "content", "ordinal"))
+
+
 def dense(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """query_id, chunk_id, doc_id, source, ordinal, score, rank: documents near a query by vector, each by its first chunk.
 
