@@ -48,6 +48,28 @@ def parent_child(sections_: DataFrame, parent: int = 900, child: int = 220, tail
     return c.select("doc_id", "section", F.col("ordinal").cast("long").alias("ordinal"), "n_words", F.least("n", F.lit(parent)).cast("long").alias("parent_words"))
 
 
+def located(starts: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """starts(key, start, ...), blocks(key, block, words, path, locator) -> the starts, and block, path and locator of the block that holds the word at start.
+
+    An as-of join: block starts (running sums of words) and chunk starts of a document in one order, each chunk taking the last block before it, so that no range is joined. A block without words
+    holds the word at its place first. Behind the last block: no block, the last path, no locator. Documents without blocks keep their starts, with nulls.
+    """
+    order = Window.partitionBy(key).orderBy("block")
+    low = F.sum("words").over(order) - F.col("words")
+    b = blocks.select(key, "block", "words", "path", "locator", low.alias("low"), F.last("path").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("final"))
+    held = F.struct("block", "path", "locator", (F.col("low") + F.col("words")).alias("high"), "final")
+    rest = [c for c in starts.columns if c not in (key, "start")]
+    events = b.where("words > 0").select(key, F.col("low").alias("at"), F.lit(0).alias("kind"), held.alias("held"), F.lit(None).cast(f"struct<{', '.join(f'{c}: {k}' for c, k in starts.dtypes if c in rest)}>").alias("own"))
+    asked = starts.select(key, F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(events.schema["held"].dataType).alias("held"), F.struct(*rest).alias("own"))
+    last = F.last("held", ignorenulls=True).over(Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = events.unionByName(asked).withColumn("held", last).where("kind = 1")
+    empty = b.where("words = 0").groupBy(key, F.col("low").alias("at")).agg(F.min_by(F.struct("block", "path", "locator"), "block").alias("empty"))
+    found = found.join(empty, [key, "at"], "left")
+    inside = F.col("at") < F.col("held.high")
+    pick = lambda c: F.coalesce(F.col(f"empty.{c}"), F.when(inside, F.col(f"held.{c}")))
+    return found.select(key, F.col("at").alias("start"), "own.*", pick("block").alias("block"), F.coalesce(pick("path"), F.col("held.final")).alias("path"), pick("locator").alias("locator"))
+
+
 def page_chunks(pages: DataFrame, sections_: DataFrame, size: int = 220) -> DataFrame:
     """pages(page_id, title, ns, redirect), sections(page_id, section, path, text) -> page_id, ordinal, section, path, chunk_index, content.
 

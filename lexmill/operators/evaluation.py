@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lexmill.storage import settled
+
 
 def retrieval_metrics(results: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """results(query_id, doc_id, rank), gold(query_id, doc_id) -> query_id, gold_n, recall_k..., mrr, ndcg; zero where nothing is found."""
@@ -57,10 +59,31 @@ def nearest_rank(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by {value})")
 
 
-def floor_rank(value: str, share: float) -> Column:
-    """The value at 0-based rank floor((n - 1) * share); a group is the tasks of one configuration."""
-    v = F.sort_array(F.collect_list(value))
-    return F.element_at(v, (F.floor((F.size(v) - 1) * share) + 1).cast("int"))
+#: Ranks (from 1) of a group's n values.
+P50, P95, FLOOR95 = "ceil(0.5 * n)", "ceil(0.95 * n)", "floor((n - 1) * 0.95) + 1"
+
+
+def order_statistics(rows: DataFrame, by: list[str], value: str, **ranks: str) -> DataFrame:
+    """rows(by, value) -> by, n, and the value at each rank, given in SQL by n, the number of values. Nulls are no values; groups without values have no row.
+
+    Exact, and no group meets in one task: values are counted first, the different ones dealt out by ranges of (by, value), and running counts inside a range start
+    from the totals of the ranges before.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    ranged = settled(counted.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*by, "part").agg(F.sum("c").alias("t"))  # a row a group and range
+    group = Window.partitionBy(*by)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(*by, "part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"), F.sum("t").over(group).alias("n"))
+    wanted = F.array(*(F.expr(f"cast({r} as bigint)") for r in ranks.values()))
+    ahead = ahead.withColumn("ranks", wanted).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("part").alias("_part"), "ahead", "n", "ranks")
+    same = F.col("part") == F.col("_part")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    high = F.col("ahead") + F.sum("c").over(Window.partitionBy("part", *by).orderBy(value))
+    x = ranged.join(ahead, same).withColumn("high", high)
+    holds = lambda k: (F.col("high") - F.col("c") < F.col("ranks")[k]) & (F.col("ranks")[k] <= F.col("high"))
+    return x.groupBy(*by).agg(F.first("n").alias("n"), *(F.max(F.when(holds(k), F.col(value))).alias(name) for k, name in enumerate(ranks)))
 
 
 def apportion(families: DataFrame, total: int) -> DataFrame:

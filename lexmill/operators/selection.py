@@ -1,6 +1,6 @@
 """Steps whose next choice hangs on the ones before: context selection under quotas and a budget, and question filtering.
 
-Both run per query on candidates that ranking has already limited, one group at a time.
+Context selection runs per query on candidates that ranking has already limited; questions are filtered in rounds over all pairs.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.storage import settled
 
 # Fixed values.
 NEGATIVE = (
@@ -92,11 +93,29 @@ def select_context(
     return c.groupBy("query_id").applyInPandas(run, schema)
 
 
+def not_first(pairs: DataFrame, group: str) -> DataFrame:
+    """pairs(group, a, b), a before b -> group, node: those that a walk in order drops, which keeps a node unless it is paired with one it has kept.
+
+    All groups side by side, in rounds of joins: a node that no open pair has as its later end is kept, what is paired with it behind is dropped, and pairs of dropped nodes close.
+    A round decides every node whose earlier partners are decided; there are as many rounds as the longest chain of undecided nodes needs.
+    """
+    open_ = settled(pairs.select(group, "a", "b").distinct(), "pairs")
+    dropped = open_.select(group, F.col("b").alias("node")).limit(0)
+    while not open_.isEmpty():
+        kept = open_.select(group, "a").distinct().join(open_.select(group, F.col("b").alias("a")).distinct(), [group, "a"], "left_anti")
+        now = settled(open_.join(kept, [group, "a"], "left_semi").select(group, F.col("b").alias("node")).distinct(), "dropped")
+        dropped = dropped.unionByName(now)
+        for end in ("a", "b"):
+            open_ = open_.join(now.withColumnRenamed("node", end), [group, end], "left_anti")
+        open_ = settled(open_, "pairs")
+    return dropped
+
+
 def fresh_questions(questions: DataFrame, group: str, key: str, text: str, most: float = 0.86) -> DataFrame:
     """Questions in key order, each kept unless its tokens' Jaccard similarity with a kept one of its group is over ``most``.
 
     A group is one generation run. Similar pairs are found by a join on tokens of the prefix filter (a pair over the bound shares one of
-    each side's first tokens by rarity); only the pairs, not the texts, reach the step that decides in order.
+    each side's first tokens by rarity); only the pairs, not the texts, reach the rounds that decide in order.
     """
     q = questions.select(group, key, T.distinct_tokens(F.col(text)).alias("t"))
     x = q.select(group, key, F.explode("t").alias("w"))
@@ -109,16 +128,6 @@ def fresh_questions(questions: DataFrame, group: str, key: str, text: str, most:
     pairs = pairs.join(q, [group, key]).join(q.select(group, F.col(key).alias("_k"), F.col("t").alias("u")), [group, "_k"])
     pairs = pairs.where(T.jaccard(F.col("t"), F.col("u")) > most).select(group, F.col(key).alias("a"), F.col("_k").alias("b"))
 
-    def run(group_: pd.DataFrame) -> pd.DataFrame:
-        earlier: dict = {}
-        for a_, b_ in zip(group_["a"], group_["b"]):
-            earlier.setdefault(b_, []).append(a_)
-        dropped: set = set()
-        for b_ in sorted(earlier):
-            if any(a_ not in dropped for a_ in earlier[b_]):
-                dropped.add(b_)
-        return pd.DataFrame({group: group_[group].iloc[0], key: sorted(dropped)})
-
-    kinds = dict(questions.dtypes)
-    gone = pairs.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}")
+    gone = not_first(pairs, group)
+    gone = gone.select(group, F.col("node").alias(key))
     return questions.join(gone, [group, key], "left_anti")

@@ -153,7 +153,7 @@ def g_rollup(spark, sf_dir):
     "max(CASE WHEN k = CAST(floor((n - 1) * 0.95) AS BIGINT) + 1 THEN latency END) AS floor95 FROM r GROUP BY config"
 )
 def g_percentiles(spark, sf_dir):
-    return _tasks(spark, sf_dir).groupBy("config").agg(E.nearest_rank("latency", 0.5).alias("p50"), E.nearest_rank("latency", 0.95).alias("p95"), E.floor_rank("latency", 0.95).alias("floor95"))
+    return E.order_statistics(_tasks(spark, sf_dir), ["config"], "latency", p50=E.P50, p95=E.P95, floor95=E.FLOOR95).drop("n")
 
 
 @query(
@@ -218,7 +218,7 @@ def g_queue_health(spark, sf_dir):
 def g_stage_latency(spark, sf_dir):
     m = F.create_map(F.lit("total"), F.col("latency"), F.lit("search"), F.round(F.col("latency") * 0.25, 2))
     x = _tasks(spark, sf_dir).select(F.explode(m).alias("stage", "x"))
-    return x.groupBy("stage").agg(F.count("*").alias("n"), E.nearest_rank("x", 0.5).alias("p50"), E.nearest_rank("x", 0.95).alias("p95"), F.max("x").alias("worst"))
+    return E.order_statistics(x, ["stage"], "x", p50=E.P50, p95=E.P95, worst="n")
 
 
 @query(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import inverted
 from lexmill.operators import research as R
-from lexmill.operators.ranking import bm25
+from lexmill.operators import steps as S
 from lexmill.operators.selection import fresh_questions, select_context
 from lexmill.plans.catalog import query
 from lexmill.plans.gate_queries import _FLAT, _sig
-from lexmill.plans.relations import CASES, CHUNKS, cases, chunks, lexical, lexical_sql, norm, query_table, table, toks
+from lexmill.plans.relations import CASES, CHUNKS, cases, corpus_index, lexical, lexical_sql, norm, query_table, quoted, table, toks
 
 _RUNS = (
     "runs AS (SELECT o_orderkey AS run_id, o_orderkey % 17 = 0 AS cancelled, o_orderkey % 13 = 0 AS paused, o_orderdate AS deadline, o_custkey % 9 AS episodes, o_custkey % 31 AS calls, "
@@ -117,12 +118,62 @@ def e_coverage(spark, sf_dir):
 @query()
 def e_step_search(spark, sf_dir):
     """The evidence of all four steps beside each query's state."""
-    c = chunks(spark, sf_dir).select("chunk_id", "content")
-    search = lambda q: bm25(c, q, 10).join(c, "chunk_id")
+    index = corpus_index(spark, sf_dir)
+    search = lambda q: inverted.search(index, q, 10, columns=("content",))
     evidence, state = R.step_search(query_table(spark, sf_dir), search)
     return evidence.select("query_id", "chunk_id", "step", "score").join(state, "query_id", "right")
 
 
+#: A bridge question and two that lack one of its ends, beside the passages, which are no questions of this kind.
+BRIDGES = (
+    "Название которой серии жилых домов начинается с тех же цифр, что год документального фильма, вышедшего в мае 1999", "Какой фильм вышел в 2003 и в 2010",
+    "В какой серии дом", "Документальные фильмы января",
+)
+
+
+def _questions(spark, sf_dir):
+    own = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(BRIDGES)], "query_id long, text string")
+    return query_table(spark, sf_dir).unionByName(own)
+
+
+def _has_sql(text: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_MONTH = "CASE " + " ".join(f"WHEN contains(q, '{stem}') THEN '{form}'" for stem, form in S.MONTHS) + " END"
+_BRIDGE = (
+    "asked AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(CAST({-1 - i} AS BIGINT), {quoted(t)})" for i, t in enumerate(BRIDGES)) + ") AS v(a, b)), "
+    f"low AS (SELECT query_id, lower(text) AS q FROM asked), marks AS (SELECT query_id, q, {_MONTH} AS month, nullif(regexp_extract(q, '(^|[^0-9a-zа-я])((19|20)[0-9][0-9])($|[^0-9a-zа-я])', 2), '') AS year FROM low), "
+    f"ends AS (SELECT query_id, CASE WHEN {_has_sql('q', 'документаль', 'фильм')} AND month IS NOT NULL AND year IS NOT NULL THEN ['документальный фильм ' || month || ' ' || year, 'фильм вышедший в ' || month || ' ' || year] "
+    f"WHEN {_has_sql('q', 'документаль', 'фильм')} AND year IS NOT NULL THEN ['документальный фильм ' || year] ELSE [] END AS f, "
+    f"CASE WHEN contains(q, 'сери') AND {_has_sql('q', 'жил', 'дом', 'здани')} THEN ['серия жилых домов', 'серия жилых домов город'] ELSE [] END AS s, "
+    "CASE WHEN contains(q, 'цифр') AND contains(q, 'назван') THEN ['название начинается с тех же цифр'] ELSE [] END AS d FROM marks)"
+)
+
+
+@query(f"WITH {_BRIDGE}, o AS (SELECT query_id, list_concat(list_concat(list_concat(f[1:1], s[1:1]), list_concat(f[2:], s[2:])), d) AS all_ FROM ends) SELECT query_id, generate_subscripts(all_, 1)::BIGINT AS n, unnest(all_) AS subquery FROM o")
+def e_bridge_queries(spark, sf_dir):
+    """Templates for both ends of a bridge question."""
+    found = _questions(spark, sf_dir).select("query_id", F.posexplode(S.bridge_queries(F.col("text"))).alias("n", "subquery"))
+    return found.select("query_id", (F.col("n") + 1).cast("long").alias("n"), "subquery")
+
+
+@query()
+def e_evidence_steps(spark, sf_dir):
+    """Every step of every passage's search: what it asked, what it found, the coverage after it, the final evidence's size and why the search ended."""
+    index = corpus_index(spark, sf_dir)
+    search = lambda q: inverted.search(index, q, 8, columns=("doc_id", "content"))
+    c = index.chunks.select("chunk_id", "doc_id", "ordinal", "content")
+
+    def neighbours(hits):
+        at = hits.join(c.select("chunk_id", "doc_id", "ordinal"), "chunk_id").select("query_id", "doc_id", F.explode(F.array(F.col("ordinal") - 1, F.col("ordinal") + 1)).alias("ordinal"))
+        return at.join(c, ["doc_id", "ordinal"])
+
+    log, evidence, state = S.search_steps(_questions(spark, sf_dir), search, neighbours)
+    final = S.final_evidence(evidence, 12, ambiguous=True).groupBy("query_id").agg(F.count("*").alias("evidence"))
+    return log.join(state.select("query_id", "stop"), "query_id", "right").join(final, "query_id", "left")
+
+
 @query()
 def r_select_context(spark, sf_dir):
     """Contents of under 60 words give way to the document's first 400."""

@@ -194,3 +194,19 @@ def c_page_chunks(spark, sf_dir):
     pages = d.select(i.alias("page_id"), title.alias("title"), F.when(i % 5 == 4, 1).otherwise(0).alias("ns"), F.when(i % 9 == 0, F.concat(F.lit("T"), (i + 1).cast("string"))).alias("redirect"))
     lines = d.select(i.alias("page_id"), title.alias("title"), F.posexplode(F.split("text", "\n")).alias("section", "text"))
     return C.page_chunks(pages, lines.select("page_id", "section", F.concat_ws("/", "title", F.col("section").cast("string")).alias("path"), "text"))
+
+
+@query(
+    f"WITH {CHUNKS}, lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL), "
+    f"sized AS (SELECT doc_id, source, no, len({words('line')}) AS n FROM lines), "
+    "blocks AS (SELECT doc_id, source || '/' || (no // 10) AS path, no, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY no) - n AS BIGINT) AS low FROM sized WHERE n > 0) "
+    "SELECT c.chunk_id, c.ordinal, CAST(b.no AS BIGINT) AS line, b.path FROM chunks c ASOF JOIN blocks b ON c.doc_id = b.doc_id AND c.ordinal * 220 >= b.low"
+)
+def c_located_chunks(spark, sf_dir):
+    """Every chunk with the line that holds its first word, and that line's section (ten lines each)."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    line = d.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    line = line.select("doc_id", "source", (F.col("no") + 1).cast("long").alias("block"), F.size(T.words(F.col("line"))).alias("words")).where("words > 0")
+    blocks = line.select("doc_id", "block", "words", F.concat_ws("/", "source", F.expr("block div 10").cast("string")).alias("path"), F.col("block").alias("locator"))
+    starts = chunks(spark, sf_dir).select("doc_id", (F.col("ordinal") * 220).alias("start"), "chunk_id", "ordinal")
+    return C.located(starts, blocks, "doc_id").select("chunk_id", "ordinal", F.col("locator").alias("line"), "path")
