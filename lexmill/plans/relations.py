@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import inverted
+from lexmill.operators import inverted, vectors
 from lexmill.operators.chunking import word_chunks
 from lexmill.operators.ranking import knn, small
 from lexmill.storage import exists, new_folder
@@ -90,21 +90,29 @@ def fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(d, "doc_id")
 
 
-_indexes: dict[tuple[str, str], tuple[int, inverted.Index]] = {}
+_indexes: dict[tuple[str, str, str], tuple] = {}
 
 
-def corpus_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
-    """The inverted index of the chunks of documents with all ``FIELDS``: built by the first query that asks for it, read by all later ones of the
-    application, and built anew where the files of documents are others than those it was built from."""
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+def _built(spark: SparkSession, sf_dir: str, name: str, build):
+    """What build(path) makes of a table: made by the first query that asks for it, read by all later ones of the application, and made anew where the
+    table's files are others than those it was made from."""
+    files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     stamp = files.agg(F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0))).first()[0]
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _indexes or _indexes[key][0] != stamp or not exists(spark, _indexes[key][1].path):
-        _indexes[key] = stamp, inverted.build(fielded(spark, sf_dir), new_folder(spark, "index"), tuple(FIELDS), "lang")
+        _indexes[key] = stamp, build(new_folder(spark, f"index-{name}"))
     return _indexes[key][1]
 
 
+def corpus_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    """The inverted index of the chunks of documents, with all ``FIELDS``."""
+    return _built(spark, sf_dir, "documents", lambda path: inverted.build(fielded(spark, sf_dir), path, tuple(FIELDS), "lang"))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.Cells:
+    return _built(spark, sf_dir, "embeddings", lambda path: vectors.build(table(spark, sf_dir, "embeddings"), path))
+
+
 def lexical(spark: SparkSession, sf_dir: str, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, doc_id, source, content, ordinal, score, rank."""
     return inverted.search(corpus_index(spark, sf_dir), query_table(spark, sf_dir), k, k1, b, columns=("doc_id", "source", "content", "ordinal"))

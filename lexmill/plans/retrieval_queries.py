@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import inverted
+from lexmill.operators import inverted, vectors
 from lexmill.operators import ranking as R
 from lexmill.operators.chunking import with_neighbors
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, DENSE, FIELDS, chunks, corpus_index, dense, lexical, lexical_sql, query_table, table, toks, words
+from lexmill.plans.relations import CHUNKS, DENSE, FIELDS, chunks, corpus_index, dense, lexical, lexical_sql, query_table, table, toks, vector_index, words
 
 _HITS = f"{CHUNKS}, {lexical_sql()}"
 _LANES = f"{CHUNKS}, {lexical_sql('hits')}, {DENSE}"
@@ -54,6 +54,17 @@ def r_knn(spark, sf_dir):
     return R.knn(e.select("vec_id", "embedding"), q)
 
 
+@query(
+    "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE))), 6) AS score "
+    "FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0 AND v.label % 3 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) "
+    "SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10"
+)
+def r_knn_filtered(spark, sf_dir):
+    """The nearest of those vectors whose label meets a condition, from the index of cells."""
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.search(vector_index(spark, sf_dir), q, where="label % 3 <> 0")
+
+
 def _lanes(spark, sf_dir):
     """The lexical and the dense lane."""
     keep = ["query_id", "source", "doc_id", "chunk_id", "score", "rank"]
