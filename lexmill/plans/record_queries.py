@@ -9,6 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import access as A
 from lexmill.operators import changes as C
 from lexmill.operators.ranking import first_per
+from lexmill.operators import semistructured as J
 from lexmill.plans.catalog import query
 from lexmill.plans.relations import CHUNKS, GOLD, META, chunks, gold, meta, table
 from lexmill.streaming import windows as S
@@ -249,3 +250,28 @@ def x_session(spark, sf_dir):
 def x_dedup_watermark(spark, sf_dir):
     e = _events(spark, sf_dir)
     return S.first_events(e.unionByName(e.where("event_id % 23 = 0"))).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH p AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k, value FROM events) "
+    "SELECT event_type, count(*) AS n, count(k) AS with_k, sum(CAST(k AS BIGINT)) AS k_sum, count(CASE WHEN k >= 50 THEN 1 END) AS large, round(avg(CASE WHEN k IN (7, 9, 70) THEN value END), 6) AS picked FROM p GROUP BY event_type"
+)
+def x_props_rollup(spark, sf_dir):
+    """Typed values out of a JSON column, parsed once a row."""
+    e = table(spark, sf_dir, "events")
+    k = J.value_at(F.col("props"), "$.k", "int")
+    x = e.select("event_type", "value", k.alias("k"), J.meets(F.col("props"), "$.k", "gte", [50], "int").alias("large"), J.meets(F.col("props"), "$.k", "in", [7, 9, 70], "int").alias("picked"))
+    return x.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count("k").alias("with_k"), F.sum(F.col("k").cast("long")).alias("k_sum"), F.count_if("large").alias("large"), F.round(F.avg(F.when(F.col("picked"), F.col("value"))), 6).alias("picked")
+    )
+
+
+@query(
+    "WITH u AS (SELECT user_id, event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events UNION ALL SELECT user_id, event_id, event_type, CAST(event_id AS VARCHAR) FROM events) "
+    "SELECT user_id, key, arg_max(value, event_id) AS value FROM u GROUP BY user_id, key"
+)
+def x_props_merge(spark, sf_dir):
+    """Each user's state: the properties of all events and the last event of each type, merged in order."""
+    e = table(spark, sf_dir, "events")
+    both = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "'), F.col("event_type"), F.lit('": '), F.col("event_id"), F.lit("}"))
+    return J.merged(e.select("user_id", "event_id", both.alias("props")), ["user_id"], ["event_id"], "props")

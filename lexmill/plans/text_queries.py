@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import tables
 from lexmill.functions import text as T
 from lexmill.operators import chunking as C
 from lexmill.plans.catalog import query
@@ -136,6 +137,15 @@ def c_word_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "doc_id", "ordinal", "n_words", F.md5("content").alias("content_md5"))
 
 
+@query(f"WITH {CHUNKS} SELECT chunk_id, doc_id, ordinal, n_words, md5(content) AS content_md5 FROM chunks")
+def c_table_function(spark, sf_dir):
+    """The same chunks from SQL, by a table function over the whole table."""
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chunk_id = "substr(sha1(concat(doc_id, char(31), ordinal, char(31))), 1, 24)"
+    return spark.sql(f"SELECT {chunk_id} AS chunk_id, doc_id, ordinal, n_words, md5(content) AS content_md5 FROM word_windows(TABLE(SELECT * FROM {{docs}}), 220)", docs=docs)
+
+
 @query(f"WITH {CHUNKS} SELECT chunk_id, lag(chunk_id) OVER w AS prev_id, lead(chunk_id) OVER w AS next_id FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)")
 def c_neighbors(spark, sf_dir):
     return C.with_neighbors(chunks(spark, sf_dir)).select("chunk_id", "prev_id", "next_id")
