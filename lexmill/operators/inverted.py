@@ -190,12 +190,13 @@ def weighed(index: Index, queries: DataFrame, k1: float, boosts: dict[str, float
     return settled(found.select("query_id", "field", "bucket", "term", (boost * idf * (k1 + 1)).alias("weight"), "average"), "weights")
 
 
-def bounds(index: Index, weights: DataFrame, k1: float, b: float) -> DataFrame:
-    """query_id, range, bound, place: what no chunk of the range can exceed for the query, for all pairs that share a term, the most promising range first."""
+def bounds(index: Index, weights: DataFrame, k1: float, b: float, groups: DataFrame | None = None) -> DataFrame:
+    """query_id, group (of groups(range, group)), range, bound, place in the group: what no chunk of the range can exceed for the query, for all pairs that share a term, the most promising range first."""
     each = index.blocks.select("field", "bucket", "term", "range", "most", "least").join(weights, ["field", "bucket", "term"])
     part = F.col("weight") * _part(F.col("most"), F.col("least"), F.col("average"), k1, b)
     each = each.groupBy("query_id", "range", "field").agg(F.sum(part).alias("bound")).groupBy("query_id", "range").agg(F.max("bound").alias("bound"))
-    return settled(ranked(each, "bound", ["range"], ["query_id"], name="place"), "bounds")
+    each = each.withColumn("group", F.lit("")) if groups is None else each.join(groups, "range")
+    return settled(ranked(each, "bound", ["range"], ["query_id", "group"], name="place"), "bounds")
 
 
 def _best_slots(k: int, k1: float, b: float, kind: pa.DataType):
@@ -264,29 +265,34 @@ def scored(index: Index, pairs: DataFrame, weights: DataFrame, queries: int, k:
 
 
 def survivors(every: DataFrame, hits: DataFrame, k: int, pilot: int) -> DataFrame:
-    """The (query_id, range) behind each query's ``pilot`` first ones whose bound reaches the k-th best of their hits, and so may hold one of the k best."""
-    last = ranked(hits, "score", ["range", "slot"], ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-    rest = every.where(F.col("place") > pilot).join(last, "query_id", "left").where(F.col("bound") + _SLACK >= F.coalesce("reached", F.lit(0.0)))
-    return rest.select("query_id", "range")
+    """The (query_id, group, range) behind each query's ``pilot`` first ones of a group whose bound reaches the k-th best of their hits, and so may hold one of the k best."""
+    last = ranked(hits, "score", ["range", "slot"], ["query_id", "group"]).where(F.col("rank") == k).select("query_id", "group", F.col("score").alias("reached"))
+    rest = every.where(F.col("place") > pilot).join(last, ["query_id", "group"], "left").where(F.col("bound") + _SLACK >= F.coalesce("reached", F.lit(0.0)))
+    return rest.select("query_id", "group", "range")
 
 
 def search(
-    index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, boosts: dict[str, float] | None = None, columns: tuple[str, ...] = (), pilot: int = 2
+    index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, boosts: dict[str, float] | None = None, columns: tuple[str, ...] = (), pilot: int = 2,
+    per: str | None = None,
 ) -> DataFrame:
     """queries(query_id, text) -> query_id, chunk_id, columns, score, rank: the top k of each, as a scan of all chunks would give.
 
     pilot: ranges of each query that are scored before any is skipped. boosts: fields and their weights (content alone by default); a chunk scores as its best field does. Ties by chunk_id. A query without a known
-    term has no rows.
+    term has no rows. per: a column that the index's clusters don't mix; then each query has its top k in each of its values, and a rank there, by the statistics of the whole index.
     """
     weights = weighed(index, queries, k1, boosts or {"content": 1.0})
-    every = bounds(index, weights, k1, b)
+    groups = index.chunks.groupBy("range").agg(F.first(per).cast("string").alias("group")) if per else None  # a row a range
+    every = bounds(index, weights, k1, b, groups)
     size = every.agg(F.count_distinct("query_id").alias("queries"), F.max("place").alias("ranges")).first()
-    hits = scored(index, every.where(F.col("place") <= pilot).select("query_id", "range"), weights, size["queries"], k, k1, b)
+    score = lambda pairs: scored(index, pairs, weights, size["queries"], k, k1, b)
+    named = lambda hits: hits.withColumn("group", F.lit("")) if groups is None else hits.join(groups, "range")
+    hits = named(score(every.where(F.col("place") <= pilot).select("query_id", "range")))
     if (size["ranges"] or 0) > pilot:
         hits = settled(hits, "pilot")
-        hits = hits.unionByName(scored(index, survivors(every, hits, k, pilot), weights, size["queries"], k, k1, b))
+        hits = hits.unionByName(named(score(survivors(every, hits, k, pilot).select("query_id", "range"))))
     hits = hits.withColumn("score", F.round("score", 6))
-    close = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    close = F.rank().over(Window.partitionBy("query_id", "group").orderBy(F.desc("score")))
     found = settled(hits.withColumn("place", close).where(F.col("place") <= k).drop("place"), "hits")
-    named = index.chunks.select("range", "slot", "chunk_id", *columns).join(found, ["range", "slot"])
-    return ranked(named.select("query_id", "chunk_id", *columns, "score"), "score", ["chunk_id"], ["query_id"], k)
+    rows = index.chunks.select("range", "slot", "chunk_id", *columns).join(found, ["range", "slot"])
+    top = ranked(rows.select("query_id", "group", "chunk_id", *columns, "score"), "score", ["chunk_id"], ["query_id", "group"], k)
+    return top.withColumnRenamed("group", "per") if per else top.drop("group")

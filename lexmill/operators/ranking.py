@@ -56,8 +56,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     return ranked(best, "score", ["chunk_id"], ["query_id"], k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """vectors(vec_id, embedding), queries(query_id, q) -> query_id, vec_id, score, rank: exact, positive scores only.
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, by: tuple[str, ...] = ()) -> DataFrame:
+    """vectors(vec_id, embedding, by), queries(query_id, q) -> query_id, by, vec_id, score, rank: exact, positive scores only; by: the top k of each of these columns' values.
 
     Queries are cut into blocks; a block meets every vector, and each partition of vectors passes on its own top k.
     """
@@ -65,9 +65,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096)
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     v = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
     q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    scored = v.join(q, ["block", "salt"]).select("query_id", "vec_id", "salt", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    near = ranked(scored.where("score > 0"), "score", ["vec_id"], ["query_id", "salt"], k)
-    return ranked(near.drop("rank", "salt"), "score", ["vec_id"], ["query_id"], k)
+    scored = v.join(q, ["block", "salt"]).select("query_id", *by, "vec_id", "salt", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    near = ranked(scored.where("score > 0"), "score", ["vec_id"], ["query_id", *by, "salt"], k)
+    return ranked(near.drop("rank", "salt"), "score", ["vec_id"], ["query_id", *by], k)
 
 
 def rrf(lanes: DataFrame, by: list[str], key: list[str], constant: int = 60) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import access as A
+from lexmill.operators import inverted, ranking
 from lexmill.operators import lookup as L
 from lexmill.plans.catalog import query
 from lexmill.plans.gate_queries import _sig
-from lexmill.plans.relations import CHUNKS, DENSE, chunks, dense, lexical, lexical_sql, meta, META, norm, query_table, quoted, table, toks, words
+from lexmill.plans.relations import CHUNKS, DENSE, chunks, corpus_index, dense, lexical, lexical_sql, meta, META, norm, query_table, quoted, table, toks, words
 
 _HITS = f"{CHUNKS}, {lexical_sql()}"
 _FLAT = r"lower(trim(regexp_replace({}, '[\x20\x09-\x0D]+', ' ', 'g')))"
@@ -101,6 +102,26 @@ def r_bases(spark, sf_dir):
     return L.over_bases(lane(lexical(spark, sf_dir), "bm25").unionByName(lane(dense(spark, sf_dir), "dense")), 3, 20)
 
 
+@query(
+    f"WITH {_HITS}, {DENSE}, l AS (SELECT 'bm25' AS lane, s.query_id, c.source AS base_id, c.doc_id, c.chunk_id, s.score, c.chunk_id AS tie, 0 AS no FROM hits_s s JOIN chunks c USING (chunk_id) "
+    "UNION ALL SELECT 'dense', s.query_id, c.source, c.doc_id, c.chunk_id, s.score, '', c.doc_id FROM dense_s s JOIN chunks c ON c.doc_id = s.doc_id AND c.ordinal = 0 WHERE s.score > 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, lane, base_id ORDER BY score DESC, tie, no) AS own FROM l), "
+    "f AS (SELECT query_id, base_id, doc_id, chunk_id, round(sum(1.0 / (60 + own)), 9) AS score, count(*) AS lanes FROM r WHERE own <= 3 GROUP BY ALL), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base_id, doc_id, chunk_id) AS rank FROM f) SELECT * FROM g WHERE rank <= 20"
+)
+def r_base_lanes(spark, sf_dir):
+    """Every base (source) has its own best in each lane, whatever other bases have; fusion doesn't know bases."""
+    columns = ["query_id", "base_id", "doc_id", "chunk_id", "rank"]
+    bm25 = inverted.search(corpus_index(spark, sf_dir), query_table(spark, sf_dir), 3, columns=("doc_id",), per="source").withColumnRenamed("per", "base_id")
+    heads = chunks(spark, sf_dir).where("ordinal = 0").select(F.col("doc_id").alias("vec_id"), "chunk_id", F.col("source").alias("base_id"))
+    e = table(spark, sf_dir, "embeddings")
+    q = query_table(spark, sf_dir).select("query_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    near = ranking.knn(e.join(heads, "vec_id").select("vec_id", "embedding", "base_id"), q, 3, by=("base_id",))
+    near = near.join(heads, ["vec_id", "base_id"]).withColumnRenamed("vec_id", "doc_id")
+    lanes = bm25.select(*columns).unionByName(near.select(*columns))
+    return ranking.rrf(lanes, ["query_id"], ["base_id", "doc_id", "chunk_id"]).where("rank <= 20")
+
+
 @query(
     f"WITH {META}, s AS (SELECT DISTINCT lang AS scope_id, source AS base_id FROM documents UNION ALL SELECT 'nowhere', 'no base') SELECT s.scope_id, coalesce(CAST(max(m.document_date) AS VARCHAR), 'none') AS marker FROM s LEFT JOIN meta m ON m.source = s.base_id GROUP BY s.scope_id"
 )

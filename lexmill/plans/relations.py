@@ -106,7 +106,7 @@ def _built(spark: SparkSession, sf_dir: str, name: str, build):
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
     """The inverted index of the chunks of documents, with all ``FIELDS``."""
-    return _built(spark, sf_dir, "documents", lambda path: inverted.build(fielded(spark, sf_dir), path, tuple(FIELDS), "lang"))
+    return _built(spark, sf_dir, "documents", lambda path: inverted.build(fielded(spark, sf_dir), path, tuple(FIELDS), "path"))
 
 
 def vector_index(spark: SparkSession, sf_dir: str) -> vectors.Cells:

@@ -53,13 +53,22 @@ def test_ranges_are_skipped_and_bounds_hold(spark, built):
     weights = inverted.weighed(index, q, 1.2, {"content": 1.0})
     every = inverted.bounds(index, weights, 1.2, 0.75)
     first = every.where("place <= 2").select("query_id", "range")
-    rest = inverted.survivors(every, inverted.scored(index, first, weights, 8, 2, 1.2, 0.75), 2, 2)
+    rest = inverted.survivors(every, inverted.scored(index, first, weights, 8, 2, 1.2, 0.75).withColumn("group", F.lit("")), 2, 2)
     assert first.count() + rest.count() < every.count()
     full = inverted.scored(index, every.select("query_id", "range"), weights, 8, 1, 1.2, 0.75)
     over = full.join(every, ["query_id", "range"]).where("score > bound + 1e-9")
     assert full.count() > 20 and over.count() == 0
 
 
+def test_top_of_every_group(spark, built):
+    c, index = built
+    q = asked(spark)
+    got = sorted((r["query_id"], r["per"], r["rank"], r["chunk_id"], r["score"]) for r in inverted.search(index, q, 3, per="lang").where("per is not null").collect())
+    every = ranking.bm25(c.select("chunk_id", "content"), q, 10_000).drop("rank").join(c.select("chunk_id", "lang"), "chunk_id").where("lang is not null")
+    want = ranking.ranked(every, "score", ["chunk_id"], ["query_id", "lang"], 3)
+    assert got == sorted((r["query_id"], r["lang"], r["rank"], r["chunk_id"], r["score"]) for r in want.collect())
+
+
 def test_search_reads_only_the_folders_of_its_terms(spark, built):
     _, index = built
     plan = index.blocks.where(F.col("bucket").isin(3)).select("n")._jdf.queryExecution().executedPlan().toString()
