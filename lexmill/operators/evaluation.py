@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from lexmill.storage import settled
 
@@ -36,22 +36,30 @@ def token_f1(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.round(2.0 * common / (F.size(a) + F.size(b)), 6))
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(a, b):  # noqa: ANN001
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence. A column of the usual table is one integer with a bit for each token of a, and adding carries a whole run of bits at once."""
+    places: dict[str, int] = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    column = every
+    for token in b:
+        hit = column & places.get(token, 0)
+        column = ((column + hit) | (column - hit)) & every
+    return len(a) - column.bit_count()
+
+
+def _rouge_l(a: pa.Array, b: pa.Array) -> pa.Array:
+    scores = []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        x, y = x or [], y or []
+        scores.append(2.0 * lcs_length(x, y) / (len(x) + len(y)) if x and y else float(len(x) == len(y)))
+    return pa.array(scores, pa.float64())
+
+
+def rouge_l(a: str | Column, b: str | Column) -> Column:
     """F1 of the longest common subsequence of two token arrays; order-dependent, so outside Spark's expressions."""
-    import numpy as np
-    import pandas as pd
-
-    def one(x, y):
-        if not len(x) or not len(y):
-            return float(len(x) == len(y))
-        y = np.asarray(y, dtype=object)
-        row = np.zeros(len(y) + 1, dtype=np.int64)
-        for w in x:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == w, row[:-1] + 1, 0)))
-        return 2.0 * int(row[-1]) / (len(x) + len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+    return F.arrow_udf(_rouge_l, "double")(a, b)
 
 
 def nearest_rank(value: str, share: float) -> Column:

@@ -61,3 +61,23 @@ def test_located(spark):
             at += n
         want[name] = found if found[0] is not None else (None, path, None)
     assert got == want and any(x[0] is None and x[1] for x in got.values())
+
+
+def test_lcs_of_random_and_long_pairs():
+    rng = random.Random(8)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randrange(30))] for _ in range(2))
+        assert evaluation.lcs_length(a, b) == table(a, b)
+    a, b = ([f"w{rng.randrange(50)}" for _ in range(900)] for _ in range(2))
+    assert evaluation.lcs_length(a, b) == table(a, b)
+    assert evaluation.lcs_length(["x"] * 5000, ["x"] * 4000 + ["y"]) == 4000
