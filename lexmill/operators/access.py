@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+
 
 def typed_filter(fields: dict[str, Column], field: str, op: str, values: list[str]) -> Column:
     """eq, in, contains (any value, case-insensitive), gte, lte (dates, first value). An unknown field or operator matches nothing."""
@@ -26,6 +28,37 @@ def typed_filter(fields: dict[str, Column], field: str, op: str, values: list[st
     return F.coalesce(found, F.lit(False))
 
 
+def index_filter(fields: dict[str, list[str]], filters: dict[str, str | None]) -> Column:
+    """All filters that have a value: document_type, language, source_kind, source_id and document_id equal one of the field's columns, date_from and date_to bound document_date as ISO text, title
+    is a phrase of the title's tokens.
+
+    Values are trimmed and in lower case, columns as they are; blank values are no filter. A filter on a field without columns matches nothing, nor does a null.
+    """
+    value = {k: str(v).strip().lower() for k, v in filters.items() if v is not None and str(v).strip()}
+    found = F.lit(True)
+    for name in ("document_type", "language", "source_kind", "source_id", "document_id"):
+        if name in value:
+            same = F.lit(False)
+            for c in fields.get(name, []):
+                same = same | F.coalesce(F.col(c).cast("string") == value[name], F.lit(False))
+            found = found & same
+    if "date_from" in value or "date_to" in value:
+        inside = F.lit(False)
+        for c in fields.get("document_date", []):
+            day, one = F.col(c).cast("string"), F.lit(True)
+            one = one & (day >= value["date_from"]) if "date_from" in value else one
+            one = one & (day <= value["date_to"]) if "date_to" in value else one
+            inside = inside | F.coalesce(one, F.lit(False))
+        found = found & inside
+    if "title" in value:
+        padded = lambda c: F.concat(F.lit(" "), T.normalize(c), F.lit(" "))
+        phrase = F.lit(False)
+        for c in fields.get("title", []):
+            phrase = phrase | F.coalesce(F.contains(padded(F.col(c)), padded(F.lit(value["title"]))), F.lit(False))
+        found = found & phrase
+    return found
+
+
 def published(chunks: DataFrame, versions: DataFrame) -> DataFrame:
     """chunks(doc_id, version, ...) whose document is active and whose version is its current, published one."""
     ok = versions.where("lifecycle = 'active' and status = 'published'").select("doc_id", F.col("current_version").alias("version"))

@@ -11,8 +11,9 @@ from lexmill.operators import changes as C
 from lexmill.operators.ranking import first_per
 from lexmill.operators import semistructured as J
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, GOLD, META, chunks, gold, meta, table
+from lexmill.plans.relations import CHUNKS, GOLD, META, chunks, gold, meta, norm, table, words
 from lexmill.streaming import windows as S
+from lexmill.streaming.retention import purges
 
 
 @query(f"WITH {META} SELECT doc_id FROM meta WHERE lower(lang) IN ('en', 'fr') AND contains(lower(source), 'src1') AND document_date >= DATE '2021-01-01' AND document_date <= DATE '2022-03-01'")
@@ -25,6 +26,27 @@ def f_typed_filters(spark, sf_dir):
     return out.select("doc_id")
 
 
+_PHRASE = "contains(' ' || " + norm("title") + " || ' ', ' ' || w.phrase || ' ')"
+
+
+@query(
+    f"WITH {META}, h AS (SELECT doc_id, array_to_string(list_slice({words('text')}, 1, 5), ' ') AS title FROM documents), "
+    f"d AS (SELECT m.*, h.title FROM meta m JOIN h USING (doc_id)), w AS (SELECT {norm('title')} AS phrase FROM d WHERE doc_id = (SELECT min(doc_id) FROM d WHERE title <> '')) "
+    "SELECT doc_id, 'type' AS filter FROM d WHERE 'published' IN (source, lifecycle, status) UNION ALL SELECT doc_id, 'kind' FROM d WHERE 'src3' IN (source, lifecycle) AND lang = 'en' "
+    "UNION ALL SELECT doc_id, 'dates' FROM d WHERE CAST(document_date AS VARCHAR) >= '2021-01-01' AND CAST(document_date AS VARCHAR) <= '2021-06-30' "
+    f"UNION ALL SELECT doc_id, 'title' FROM d, w WHERE {_PHRASE}"
+)
+def f_index_filter(spark, sf_dir):
+    """Filters as the index takes them: alternatives of a field, a range of dates as text, a phrase of the title."""
+    heads = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 5), " ").alias("title"))
+    d = meta(spark, sf_dir).join(heads, "doc_id")
+    fields = {"document_type": ["source", "lifecycle", "status"], "language": ["lang"], "source_kind": ["source", "lifecycle"], "document_date": ["document_date"], "title": ["title"]}
+    some = d.where("title <> ''").agg(F.min_by("title", "doc_id")).first()[0]
+    wanted = {"type": {"document_type": " Published "}, "kind": {"source_kind": "SRC3", "language": "EN", "source_id": None}, "dates": {"date_from": "2021-01-01", "date_to": "2021-06-30"}, "title": {"title": some}}
+    out = [d.where(A.index_filter(fields, f)).select("doc_id", F.lit(name).alias("filter")) for name, f in wanted.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query(f"WITH {CHUNKS}, {META} SELECT c.chunk_id FROM chunks c JOIN meta m ON c.doc_id = m.doc_id WHERE m.lifecycle = 'active' AND m.status = 'published' AND m.current_version = c.ordinal % 3")
 def f_authority(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("version", F.col("ordinal") % 3)
@@ -275,3 +297,18 @@ def x_props_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     both = F.concat(F.regexp_replace("props", r"\}\s*$", ""), F.lit(', "'), F.col("event_type"), F.lit('": '), F.col("event_id"), F.lit("}"))
     return J.merged(e.select("user_id", "event_id", both.alias("props")), ["user_id"], ["event_id"], "props")
+
+
+@query(
+    "WITH e AS (SELECT user_id AS doc_id, ts AS moment, CASE event_type WHEN 'error' THEN 'deleted' ELSE 'restored' END AS kind FROM events WHERE event_type IN ('error', 'click')), "
+    "x AS (SELECT *, sum(CASE WHEN kind = 'restored' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY moment, kind ROWS UNBOUNDED PRECEDING) AS s FROM e), "
+    "g AS (SELECT doc_id, s, min(CASE WHEN kind = 'deleted' THEN moment END) AS d, min(CASE WHEN kind = 'restored' THEN moment END) AS r FROM x GROUP BY ALL), "
+    "n AS (SELECT *, lead(r) OVER (PARTITION BY doc_id ORDER BY s) AS next FROM g), t AS (SELECT max(ts) AS now FROM events) "
+    "SELECT doc_id, min(d) AS deleted_at, min(d) + INTERVAL 2 DAY AS purged_at FROM n, t WHERE d + INTERVAL 2 DAY <= coalesce(next, now) GROUP BY doc_id"
+)
+def x_purges(spark, sf_dir):
+    """Users as documents: an error deletes, a click within two days restores."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "click", "restored")
+    rows = e.select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), kind.alias("kind")).where("kind is not null")
+    return purges(rows, 2 * 86_400, F.lit(e.agg(F.max("ts")).first()[0]))

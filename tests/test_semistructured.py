@@ -53,3 +53,17 @@ def test_table_functions(spark):
         spark.sql("SELECT * FROM word_windows(TABLE(SELECT * FROM {docs}), 2, text => 'missing')", docs=docs)
     with pytest.raises(Exception, match="positive"):
         spark.sql("SELECT * FROM word_windows(TABLE(SELECT * FROM {docs}), 0)", docs=docs)
+
+
+def test_index_filter(spark):
+    from lexmill.operators.access import index_filter
+
+    rows = [(1, "pdf", None, "de", "2020-05-01", "The great Wall"), (2, None, "pdf", "fr", None, "Great the wall"), (3, "PDF", "x", None, "2021-01-01", None)]
+    df = spark.createDataFrame(rows, "i int, a string, b string, lang string, day string, title string")
+    fields = {"document_type": ["a", "b"], "language": ["lang"], "document_date": ["day"], "title": ["title"]}
+    ids = lambda **f: [r["i"] for r in df.where(index_filter(fields, f)).orderBy("i").collect()]
+    assert ids() == ids(language=" ", title=None) == [1, 2, 3]
+    assert ids(document_type=" PDF ") == [1, 2] and ids(document_type="pdf", language="FR") == [2]
+    assert ids(date_from="2020-05-01") == [1, 3] and ids(date_from="2020-05-01", date_to="2020-12-31") == [1]
+    assert ids(title="great wall") == [1] and ids(title="GREAT  the") == [2] and ids(title="eat wall") == []
+    assert ids(source_id="z") == []
