@@ -67,6 +67,48 @@ def nearest_rank(value: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) within group (order by {value})")
 
 
+def task_scores(found: DataFrame, gold: DataFrame, hard: DataFrame, tasks: DataFrame, margin: int = 20) -> DataFrame:
+    """One row for each of tasks(query_id), with every retrieval metric of it.
+
+    found(query_id, rank, before, score, page_id, chunk_id): the final list; before is a chunk's rank ahead of reranking. gold(query_id, page_id, chunk_id), hard(query_id, page_id).
+    page_recall_k and chunk_recall_k count distinct gold pages and chunks among the first k; document_* read the list of pages with each page once. gained: by how many ranks reranking moves the first gold chunk
+    up (a missing one stands at ``margin`` + 1; null if both miss). false_positives: the share of hard negatives among the first ``margin`` pages; dangerous: those among the first
+    three, above gold, of a score of a half, or of at least 0.6 times the best gold's. lead: rank of the first hard page less that of the first gold one, a missing one at ``margin`` + 1. No gold: zeros, null margins.
+    """
+    g_page, g_chunk = gold.select("query_id", "page_id", F.lit(1).alias("gp")).distinct(), gold.select("query_id", "chunk_id", F.lit(1).alias("gc")).distinct()
+    size = gold.groupBy("query_id").agg(F.count_distinct("page_id").alias("pages"), F.count_distinct("chunk_id").alias("chunks"))
+    x = found.where(F.col("rank") <= margin).join(g_page, ["query_id", "page_id"], "left").join(g_chunk, ["query_id", "chunk_id"], "left")
+    x = x.join(hard.select("query_id", "page_id", F.lit(1).alias("bad")).distinct(), ["query_id", "page_id"], "left")
+    first = F.row_number().over(Window.partitionBy("query_id", "page_id").orderBy("rank")) == 1
+    x = x.withColumn("once", first)
+    x = x.withColumn("place", F.when(F.col("once"), F.sum(F.col("once").cast("int")).over(Window.partitionBy("query_id").orderBy("rank"))))
+    best = Window.partitionBy("query_id")
+    x = x.withColumns({"gold_rank": F.min(F.when(F.col("gp") == 1, F.col("rank"))).over(best), "gold_score": F.max(F.when(F.col("gp") == 1, F.col("score"))).over(best)})
+    bad = (F.col("bad") == 1) & F.col("gp").isNull()
+    danger = (F.col("rank") <= 3) | (F.col("rank") < F.col("gold_rank")) | (F.col("score") >= 0.5) | (F.col("score") >= 0.6 * F.col("gold_score"))
+    count = lambda flag, what: F.count_distinct(F.when(flag, F.col(what)))
+    gain = lambda place: F.sum(F.when(place <= 10, 1 / F.log2(place + 1)))
+    in_chunks, in_pages = F.when(F.col("gc") == 1, F.col("rank")), F.when((F.col("gp") == 1) & F.col("once"), F.col("place"))
+    s = x.groupBy("query_id").agg(
+        *(count((F.col("gp") == 1) & (F.col("rank") <= k), "page_id").alias(f"p{k}") for k in (1, 5, 10, 20)), *(count((F.col("gc") == 1) & (F.col("rank") <= k), "chunk_id").alias(f"c{k}") for k in (5, 10, 20)),
+        *(count((F.col("gp") == 1) & (F.col("place") <= k), "page_id").alias(f"d{k}") for k in (1, 5, 10)), F.min(in_chunks).alias("fc"), F.min(in_pages).alias("fp"), gain(in_chunks).alias("gc"), gain(in_pages).alias("gp"),
+        F.min(F.when(F.col("gc") == 1, F.col("before"))).alias("fb"), count(bad, "page_id").alias("bad"), count(bad & danger, "page_id").alias("danger"), F.count_distinct("page_id").alias("n"),
+        F.min(F.when(F.col("bad") == 1, F.col("rank"))).alias("fh"), F.min(F.when(F.col("gp") == 1, F.col("rank"))).alias("fg"),
+    )
+    t = tasks.select("query_id").join(size, "query_id", "left").join(s, "query_id", "left")
+    share = lambda n, of: F.round(F.coalesce(F.col(n) / F.col(of), F.lit(0.0)), 6)
+    ideal = lambda of: F.aggregate(F.sequence(F.lit(1), F.least(F.col(of), F.lit(10)).cast("int")), F.lit(0.0), lambda total, i: total + 1 / F.log2(i + 1))
+    mrr = lambda first: F.round(F.when(F.col(first) <= 10, 1 / F.col(first)).otherwise(0.0), 6)
+    ndcg = lambda gained, of: F.round(F.when(F.col(of) > 0, F.coalesce(F.col(gained), F.lit(0.0)) / ideal(of)).otherwise(0.0), 6)
+    late = lambda c: F.coalesce(F.col(c), F.lit(margin + 1))
+    return t.select(
+        "query_id", *(share(f"p{k}", "pages").alias(f"page_recall_{k}") for k in (1, 5, 10, 20)), *(share(f"c{k}", "chunks").alias(f"chunk_recall_{k}") for k in (5, 10, 20)), mrr("fc").alias("mrr"), ndcg("gc", "chunks").alias("ndcg"),
+        *(share(f"d{k}", "pages").alias(f"document_recall_{k}") for k in (1, 5, 10)), mrr("fp").alias("document_mrr"), ndcg("gp", "pages").alias("document_ndcg"),
+        F.when(F.col("fc").isNotNull() | F.col("fb").isNotNull(), late("fb") - late("fc")).cast("long").alias("gained"), share("bad", "n").alias("false_positives"), share("danger", "n").alias("dangerous"),
+        F.when(F.col("fg").isNotNull() | F.col("fh").isNotNull(), late("fh") - late("fg")).cast("long").alias("lead"),
+    )
+
+
 #: Ranks (from 1) of a group's n values.
 P50, P95, FLOOR95 = "ceil(0.5 * n)", "ceil(0.95 * n)", "floor((n - 1) * 0.95) + 1"
 

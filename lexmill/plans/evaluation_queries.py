@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import answers as A
 from lexmill.operators import evaluation as E
+from lexmill.operators.ranking import coverage
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, GOLD, TEXTS, gold, lexical, lexical_sql, query_table, table, texts, toks
+from lexmill.plans.relations import CHUNKS, GOLD, TEXTS, corpus_index, gold, lexical, lexical_sql, query_table, table, texts, toks
+from lexmill.storage import settled
 
 _HITS = f"{CHUNKS}, {lexical_sql()}, {GOLD}, once AS (SELECT query_id, doc_id, min(rank) AS rank FROM hits GROUP BY query_id, doc_id)"
 #: Tasks: every order is the result of a task; configuration, family, language and split hang on its keys.
@@ -43,6 +45,47 @@ def m_retrieval(spark, sf_dir):
     return E.retrieval_metrics(lexical(spark, sf_dir), gold(spark, sf_dir))
 
 
+def _share(n: str, of: str) -> str:
+    return f"round(coalesce({n} / {of}, 0.0), 6)"
+
+
+def _counted(flag: str, what: str) -> str:
+    return f"count(DISTINCT CASE WHEN {flag} THEN {what} END)"
+
+
+_SCORED = (
+    f"{_HITS}, rr AS (SELECT h.query_id, h.chunk_id, h.doc_id, h.score, h.rank AS before, row_number() OVER (PARTITION BY h.query_id ORDER BY round(len(list_intersect(list_distinct({toks('b.text')}), {toks('h.content')})) / greatest(len(list_distinct({toks('b.text')})), 1), 6) DESC, h.rank, h.chunk_id) AS rank FROM hits h JOIN benchmark b ON h.query_id = b.item_id), "
+    "gc AS (SELECT DISTINCT g.query_id, g.doc_id, c.chunk_id FROM gold g JOIN chunks c USING (doc_id)), size AS (SELECT query_id, count(DISTINCT doc_id) AS pages, count(DISTINCT chunk_id) AS chunks FROM gc GROUP BY query_id), "
+    "x AS (SELECT r.*, p.doc_id IS NOT NULL AS gp, c.chunk_id IS NOT NULL AS gk, r.doc_id % 2 = 0 AS bad, row_number() OVER (PARTITION BY r.query_id, r.doc_id ORDER BY r.rank) = 1 AS once FROM rr r LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM gc) p ON p.query_id = r.query_id AND p.doc_id = r.doc_id LEFT JOIN gc c ON c.query_id = r.query_id AND c.chunk_id = r.chunk_id), "
+    "y AS (SELECT *, CASE WHEN once THEN sum(CAST(once AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) END AS place, min(CASE WHEN gp THEN rank END) OVER (PARTITION BY query_id) AS gr, max(CASE WHEN gp THEN score END) OVER (PARTITION BY query_id) AS gs FROM x), "
+    "s AS (SELECT query_id, " + ", ".join(f"{_counted(f'gp AND rank <= {k}', 'doc_id')} AS p{k}" for k in (1, 5, 10, 20)) + ", " + ", ".join(f"{_counted(f'gk AND rank <= {k}', 'chunk_id')} AS c{k}" for k in (5, 10, 20)) + ", "
+    + ", ".join(f"{_counted(f'gp AND place <= {k}', 'doc_id')} AS d{k}" for k in (1, 5, 10)) + ", min(CASE WHEN gk THEN rank END) AS fc, min(CASE WHEN gp AND once THEN place END) AS fp, "
+    "sum(CASE WHEN gk AND rank <= 10 THEN 1 / log2(rank + 1) END) AS kc, sum(CASE WHEN gp AND once AND place <= 10 THEN 1 / log2(place + 1) END) AS kp, min(CASE WHEN gk THEN before END) AS fb, "
+    f"{_counted('bad AND NOT gp', 'doc_id')} AS bad, {_counted('bad AND NOT gp AND (rank <= 3 OR rank < gr OR score >= 0.5 OR score >= 0.6 * gs)', 'doc_id')} AS danger, count(DISTINCT doc_id) AS n, "
+    "min(CASE WHEN bad THEN rank END) AS fh, min(CASE WHEN gp THEN rank END) AS fg FROM y GROUP BY query_id), "
+    "i AS (SELECT n, sum(1 / log2(k + 1)) AS ideal FROM range(1, 11) AS a(n) JOIN range(1, 11) AS b(k) ON b.k <= a.n GROUP BY n)"
+)
+
+
+@query(
+    f"WITH {_SCORED} SELECT b.item_id AS query_id, " + ", ".join(f"{_share(f'p{k}', 'pages')} AS page_recall_{k}" for k in (1, 5, 10, 20)) + ", " + ", ".join(f"{_share(f'c{k}', 'chunks')} AS chunk_recall_{k}" for k in (5, 10, 20))
+    + ", round(CASE WHEN fc <= 10 THEN 1 / fc ELSE 0.0 END, 6) AS mrr, round(CASE WHEN chunks > 0 THEN coalesce(kc, 0.0) / ic.ideal ELSE 0.0 END, 6) AS ndcg, "
+    + ", ".join(f"{_share(f'd{k}', 'pages')} AS document_recall_{k}" for k in (1, 5, 10)) + ", round(CASE WHEN fp <= 10 THEN 1 / fp ELSE 0.0 END, 6) AS document_mrr, round(CASE WHEN pages > 0 THEN coalesce(kp, 0.0) / ip.ideal ELSE 0.0 END, 6) AS document_ndcg, "
+    f"CASE WHEN fc IS NOT NULL OR fb IS NOT NULL THEN CAST(coalesce(fb, 21) - coalesce(fc, 21) AS BIGINT) END AS gained, {_share('s.bad', 's.n')} AS false_positives, {_share('danger', 's.n')} AS dangerous, "
+    "CASE WHEN fg IS NOT NULL OR fh IS NOT NULL THEN CAST(coalesce(fh, 21) - coalesce(fg, 21) AS BIGINT) END AS lead "
+    "FROM benchmark b LEFT JOIN size z ON z.query_id = b.item_id LEFT JOIN s ON s.query_id = b.item_id LEFT JOIN i ic ON ic.n = least(chunks, 10) LEFT JOIN i ip ON ip.n = least(pages, 10)"
+)
+def m_task_scores(spark, sf_dir):
+    """Every retrieval metric of a passage in one row: reranked hits, chunks of documents that hold the passage as gold, even documents as hard negatives."""
+    q = query_table(spark, sf_dir)
+    h = settled(lexical(spark, sf_dir).join(q, "query_id").withColumn("covered", coverage(F.col("text"), F.col("content"))), "hits")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("covered"), "rank", "chunk_id"))
+    found = h.select("query_id", rank.alias("new"), F.col("rank").alias("before"), "score", F.col("doc_id").alias("page_id"), "chunk_id").withColumnRenamed("new", "rank")
+    c = corpus_index(spark, sf_dir).chunks.select("doc_id", "chunk_id")
+    g = gold(spark, sf_dir).join(c, "doc_id").select("query_id", F.col("doc_id").alias("page_id"), "chunk_id")
+    return E.task_scores(found, g, h.where("doc_id % 2 = 0").select("query_id", F.col("doc_id").alias("page_id")), q)
+
+
 @query(
     f"WITH {_HITS}, {lexical_sql('flat', k1=2.0, b=0.3)}, a AS (SELECT h.query_id, min(h.rank) AS r FROM hits h JOIN gold g ON h.query_id = g.query_id AND h.doc_id = g.doc_id GROUP BY h.query_id), "
     "b AS (SELECT h.query_id, min(h.rank) AS r FROM flat h JOIN gold g ON h.query_id = g.query_id AND h.doc_id = g.doc_id GROUP BY h.query_id) "
