@@ -56,6 +56,8 @@ class Index(NamedTuple):
     def ranges(self) -> DataFrame:
         """range, generation, field, docs, total of every range's last generation; docs have the field, total is their tokens."""
         r = self._table("ranges")
+        if folders(self.spark, f"{self.path}/ranges") == 1:
+            return r
         last = r.groupBy("range").agg(F.max("generation").alias("generation"))
         return r.join(last, ["range", "generation"])
 
@@ -75,6 +77,17 @@ class Index(NamedTuple):
         return self._live(self._table("blocks")).drop("generation")
 
 
+class _Asked(NamedTuple):
+    """An index as some queries see it: only the blocks of their terms, read from the folders once."""
+
+    index: Index
+    blocks: DataFrame
+
+    @property
+    def ranges(self) -> DataFrame:
+        return self.index.ranges
+
+
 def _bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -145,6 +158,7 @@ def build(chunks: DataFrame, path: str, fields: tuple[str, ...] = ("content",),
     lie in one range, so that a document is replaced by writing few of them. A null field is none.
     """
     index = Index(chunks.sparkSession, path)
+    chunks = settled(chunks, "chunks")  # cut once, then counted and placed
     sizes = chunks.groupBy(_cluster(cluster).alias("cluster")).agg(F.ceil(F.count("*") / range_rows).cast("long").alias("buckets"))  # one row a cluster
     before = F.sum("buckets").over(Window.orderBy("cluster")) - F.col("buckets")
     sizes.select("cluster", before.alias("first"), "buckets").write.parquet(f"{path}/layout/generation=0")
@@ -280,11 +294,14 @@ def search(
     pilot: ranges of each query that are scored before any is skipped. boosts: fields and their weights (content alone by default); a chunk scores as its best field does. Ties by chunk_id. A query without a known
     term has no rows. per: a column that the index's clusters don't mix; then each query has its top k in each of its values, and a rank there, by the statistics of the whole index.
     """
-    weights = weighed(index, queries, k1, boosts or {"content": 1.0})
+    boosts = boosts or {"content": 1.0}
+    terms = queries.select(F.explode(T.distinct_tokens(F.col("text"))).alias("term")).distinct().withColumn("bucket", _bucket())
+    asked = _Asked(index, settled(index.blocks.where(F.col("field").isin(*boosts)).join(small(terms), ["bucket", "term"], "left_semi"), "blocks"))
+    weights = weighed(asked, queries, k1, boosts)
     groups = index.chunks.groupBy("range").agg(F.first(per).cast("string").alias("group")) if per else None  # a row a range
-    every = bounds(index, weights, k1, b, groups)
+    every = bounds(asked, weights, k1, b, groups)
     size = every.agg(F.count_distinct("query_id").alias("queries"), F.max("place").alias("ranges")).first()
-    score = lambda pairs: scored(index, pairs, weights, size["queries"], k, k1, b)
+    score = lambda pairs: scored(asked, pairs, weights, size["queries"], k, k1, b)
     named = lambda hits: hits.withColumn("group", F.lit("")) if groups is None else hits.join(groups, "range")
     hits = named(score(every.where(F.col("place") <= pilot).select("query_id", "range")))
     if (size["ranges"] or 0) > pilot:
