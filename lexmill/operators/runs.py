@@ -37,9 +37,11 @@ def run_scores(runs: DataFrame, questions: DataFrame, evidence: DataFrame, claim
 def policy_matrix(hits: DataFrame, gold: DataFrame, policies: DataFrame) -> DataFrame:
     """hits(query_id, doc_id, rank, size), gold(query_id, doc_id), policies(policy, budget, most) -> policy, recall, tokens, most_tokens, place.
 
-    Every policy packs every query's context; policies are few and stated. Best recall first, then fewest tokens, then the name.
+    Every policy packs every query's context; policies are few and stated, more than 1,000 of them an error. Best recall first, then fewest tokens, then the name.
     """
-    h = hits.join(F.broadcast(policies.limit(1000)), F.col("rank") <= F.col("most"))
+    if policies.limit(1001).count() > 1000:
+        raise ValueError("more than 1,000 policies")
+    h = hits.join(F.broadcast(policies), F.col("rank") <= F.col("most"))
     w = Window.partitionBy("policy", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     kept = h.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= F.col("budget"))
     marked = kept.join(gold.select("query_id", "doc_id", F.lit(1).alias("good")).distinct(), ["query_id", "doc_id"], "left")
