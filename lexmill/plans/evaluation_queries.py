@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as T
 from lexmill.operators import answers as A
 from lexmill.operators import evaluation as E
-from lexmill.operators.ranking import coverage
+from lexmill.operators.chunking import word_chunks
+from lexmill.operators.ranking import coverage, small
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, GOLD, TEXTS, corpus_index, gold, lexical, lexical_sql, query_table, table, texts, toks
+from lexmill.plans.relations import CHUNKS, GOLD, TEXTS, gold, lexical, lexical_sql, query_table, table, texts, toks
 from lexmill.storage import settled
 
 _HITS = f"{CHUNKS}, {lexical_sql()}, {GOLD}, once AS (SELECT query_id, doc_id, min(rank) AS rank FROM hits GROUP BY query_id, doc_id)"
@@ -82,8 +83,9 @@ def m_task_scores(spark, sf_dir):
     h = settled(lexical(spark, sf_dir).join(q, "query_id").withColumn("covered", coverage(F.col("text"), F.col("content"))), "hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("covered"), "rank", "chunk_id"))
     found = h.select("query_id", rank.alias("new"), F.col("rank").alias("before"), "score", F.col("doc_id").alias("page_id"), "chunk_id").withColumnRenamed("new", "rank")
-    c = corpus_index(spark, sf_dir).chunks.select("doc_id", "chunk_id")
-    g = gold(spark, sf_dir).join(c, "doc_id").select("query_id", F.col("doc_id").alias("page_id"), "chunk_id")
+    held = settled(gold(spark, sf_dir), "gold")
+    c = word_chunks(table(spark, sf_dir, "documents").join(small(held.select("doc_id").distinct(), held), "doc_id", "left_semi")).select("doc_id", "chunk_id")
+    g = held.join(c, "doc_id").select("query_id", F.col("doc_id").alias("page_id"), "chunk_id")
     return E.task_scores(found, g, h.where("doc_id % 2 = 0").select("query_id", F.col("doc_id").alias("page_id")), q)
 
 

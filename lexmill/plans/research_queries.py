@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import inverted
 from lexmill.operators import research as R
 from lexmill.operators import steps as S
+from lexmill.operators.chunking import word_chunks
+from lexmill.operators.ranking import small
 from lexmill.operators.selection import fresh_questions, select_context
 from lexmill.plans.catalog import query
 from lexmill.plans.gate_queries import _FLAT, _sig
-from lexmill.plans.relations import CASES, CHUNKS, cases, corpus_index, lexical, lexical_sql, norm, query_table, quoted, table, toks
+from lexmill.plans.relations import CASES, CHUNKS, cases, chunk_places, lexical, lexical_search, lexical_sql, norm, query_table, quoted, table, toks
+from lexmill.storage import settled
 
 _RUNS = (
     "runs AS (SELECT o_orderkey AS run_id, o_orderkey % 17 = 0 AS cancelled, o_orderkey % 13 = 0 AS paused, o_orderdate AS deadline, o_custkey % 9 AS episodes, o_custkey % 31 AS calls, "
@@ -118,8 +120,7 @@ def e_coverage(spark, sf_dir):
 @query()
 def e_step_search(spark, sf_dir):
     """The evidence of all four steps beside each query's state."""
-    index = corpus_index(spark, sf_dir)
-    search = lambda q: inverted.search(index, q, 10, columns=("content",))
+    search = lambda q: lexical_search(spark, sf_dir, q, 10, columns=("content",))
     evidence, state = R.step_search(query_table(spark, sf_dir), search)
     return evidence.select("query_id", "chunk_id", "step", "score").join(state, "query_id", "right")
 
@@ -161,12 +162,13 @@ def e_bridge_queries(spark, sf_dir):
 @query()
 def e_evidence_steps(spark, sf_dir):
     """Every step of every passage's search: what it asked, what it found, the coverage after it, the final evidence's size and why the search ended."""
-    index = corpus_index(spark, sf_dir)
-    search = lambda q: inverted.search(index, q, 8, columns=("doc_id", "content"))
-    c = index.chunks.select("chunk_id", "doc_id", "ordinal", "content")
+    search = lambda q: lexical_search(spark, sf_dir, q, 8, columns=("doc_id", "content"))
+    documents = table(spark, sf_dir, "documents")
 
     def neighbours(hits):
-        at = hits.join(c.select("chunk_id", "doc_id", "ordinal"), "chunk_id").select("query_id", "doc_id", F.explode(F.array(F.col("ordinal") - 1, F.col("ordinal") + 1)).alias("ordinal"))
+        at = settled(chunk_places(spark, sf_dir).join(small(hits), "chunk_id").select("query_id", "doc_id", "ordinal"), "beside")
+        c = word_chunks(documents.join(small(at.select("doc_id").distinct(), at), "doc_id", "left_semi")).select("chunk_id", "doc_id", "ordinal", "content")
+        at = at.select("query_id", "doc_id", F.explode(F.array(F.col("ordinal") - 1, F.col("ordinal") + 1)).alias("ordinal"))
         return at.join(c, ["doc_id", "ordinal"])
 
     log, evidence, state = S.search_steps(_questions(spark, sf_dir), search, neighbours)

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import inverted, vectors
+from lexmill.operators import vectors
 from lexmill.operators import ranking as R
 from lexmill.operators.chunking import with_neighbors
 from lexmill.plans.catalog import query
-from lexmill.plans.relations import CHUNKS, DENSE, FIELDS, chunks, corpus_index, dense, lexical, lexical_sql, query_table, table, toks, vector_index, words
+from lexmill.plans.relations import CHUNKS, DENSE, FIELDS, chunks, dense, lexical, lexical_search, lexical_sql, query_table, table, toks, vector_index, words
 
 _HITS = f"{CHUNKS}, {lexical_sql()}"
 _LANES = f"{CHUNKS}, {lexical_sql('hits')}, {DENSE}"
@@ -39,7 +39,7 @@ _FIELDED = (
 @query(f"WITH {_FIELDED} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 10")
 def r_bm25_fields(spark, sf_dir):
     """The best of four boosted fields."""
-    return inverted.search(corpus_index(spark, sf_dir), query_table(spark, sf_dir), 10, boosts=FIELDS)
+    return lexical_search(spark, sf_dir, query_table(spark, sf_dir), 10, boosts=FIELDS)
 
 
 @query(
