@@ -16,8 +16,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import text as T
-from lexmill.operators.ranking import ranked
+from lexmill.operators.ranking import nearest, ranked
 from lexmill.storage import settled
 
 #: Bounds are compared with scores of six decimals, from vectors of single precision.
@@ -113,6 +112,7 @@ def search(index: Cells, queries: DataFrame, k: int = 10, where: str | None = No
     if not rows:
         nothing = ", ".join(f"{name} {kind}" for name, kind in (("query_id", dict(queries.dtypes)["query_id"]), ("vec_id", index.kind), ("score", "double"), ("rank", "long")))
         return index.spark.createDataFrame([], nothing)
+    salts = max(salts, -(-max(r["n"] for r in rows) // 16_384))  # what a task holds of a cell doesn't grow
     q = queries.where("q is not null")
     order = "closeness" if probes else "bound"
     reach = q.select("query_id", "q", F.inline(_reach(rows)("q")))
@@ -122,8 +122,7 @@ def search(index: Cells, queries: DataFrame, k: int = 10, where: str | None = No
 
     def score(pairs: DataFrame) -> DataFrame:
         p = pairs.select("query_id", "q", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        x = vectors.join(p, ["cell", "salt"]).select("query_id", "cell", "salt", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score > 0")
-        return ranked(x, "score", ["vec_id"], ["query_id", "cell", "salt"], k).select("query_id", "vec_id", "score")
+        return nearest(vectors, p, ["cell", "salt"], ["vec_id"], k).select("query_id", "vec_id", "score")
 
     if probes:
         return ranked(score(reach), "score", ["vec_id"], ["query_id"], k)
