@@ -154,7 +154,7 @@ def _signed(hashes: np.ndarray, number: int, parts: int, apart: int) -> np.ndarr
     return (out ^ (out >> np.uint64(29))).ravel()
 
 
-def _signatures(most: float, rows: int = 500_000):
+def _signatures(most: float, rows: int = 200_000):
     """(..., hashes of a set's distinct tokens) -> (..., sig): signatures of each set in its own class and the next. Similar sets share one at least; their number grows with the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +174,8 @@ def _signatures(most: float, rows: int = 500_000):
                         row.append(np.full(len(found[-1]), i))
                         total += len(found[-1])
                 if found and (total > rows or i == batch.num_rows - 1):
-                    own = batch.take(pa.array(np.concatenate(row)))
-                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(np.concatenate(found).view(np.int64))], names=[*own.schema.names[:-1], "sig"])
+                    at = pa.array(np.concatenate(row))  # the hashes themselves are not repeated
+                    yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:-1]), pa.array(np.concatenate(found).view(np.int64))], names=[*batch.schema.names[:-1], "sig"])
                     found, row, total = [], [], 0
 
     return run
